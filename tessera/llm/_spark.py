@@ -38,3 +38,11 @@ def fold(id_column: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; a null id counts as the empty text."""
     column = F.col(id_column) if isinstance(id_column, str) else id_column
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

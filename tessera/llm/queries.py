@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, sharding
+from tessera.llm import bpe, quality, sharding
+from tessera.llm.oracles import ORACLES as ORACLES
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -17,6 +18,13 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_documents(_table(spark, sf_dir, "documents"))
+    return scored.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+    )
+
+
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=40, seed=17)
     return placed.select(
@@ -30,8 +38,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_feistel_shards": op3_feistel_shards,
     "op4_byte_bpe": op4_byte_bpe,
 }
-
-ORACLES: dict[str, str] = {}
