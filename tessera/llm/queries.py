@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, quality, sharding
+from tessera.llm import bpe, decontam, quality, sharding, toxicity
 from tessera.llm.oracles import ORACLES as ORACLES
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -37,8 +37,18 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
+def op5_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.flag_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_feistel_shards": op3_feistel_shards,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_pu_toxicity": op5_pu_toxicity,
+    "op7_pigeonhole_decontamination": op7_pigeonhole_decontamination,
 }
