@@ -1,13 +1,14 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A text is a set of hashed lower-case words; its value is the sum of learned word weights over the
-square root of a damped size. Weights are trained on confirmed toxic texts (positives) and on
+A text is a set of hashed lower-case words; its value is the sum of learned word weights plus an
+intercept. Only words clearly more common in positive than in unlabelled texts (likelihood-ratio
+statistic above MIN_GAIN) get weights, which are trained on confirmed toxic texts (positives) and on
 unlabelled texts, which are a mix of both kinds, with the risk estimator
 
     prior * R_positive(+1) + max(0, R_unlabelled(-1) - prior * R_positive(-1))
 
 where the class prior is the share of toxic among the labelled training rows. When the second term
-is negative, the step goes the other way (the non-negative correction). The sigmoid loss and Adam
+is negative, the step goes the other way (the non-negative correction). The logistic loss and Adam
 are plain numpy on the driver, over a bounded sample: at most MAX_POSITIVE and MAX_UNLABELLED
 texts, those of least id hash. Everything is scored.
 
@@ -31,6 +32,7 @@ from tessera.llm._spark import fold, text_of
 BITS = 18
 MAX_POSITIVE = 4000
 MAX_UNLABELLED = 12000
+MIN_GAIN = 10.0
 FOLDS, HELD_OUT = 4, 2
 _CUT = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
@@ -46,23 +48,37 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Model:
     """Word weights and an intercept."""
 
-    def __init__(self, weights: np.ndarray, intercept: float, damping: float) -> None:
-        self.weights, self.intercept, self.damping = weights, intercept, damping
+    def __init__(self, weights: np.ndarray, intercept: float) -> None:
+        self.weights, self.intercept = weights, intercept
 
     def values(self, rows: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
-        sums = np.bincount(rows, self.weights[words], minlength=n)
-        sizes = np.bincount(rows, minlength=n)
-        return sums / np.sqrt(self.damping + sizes) + self.intercept
+        return np.bincount(rows, self.weights[words], minlength=n) + self.intercept
 
     def scores(self, rows: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.values(rows, words, n), -40, 40)))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 0, epochs: int = 25, batch: int = 512, rate: float = 0.05, decay: float = 1e-4, damping: float = 30.0) -> Model:
+def gains(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
+    """Likelihood-ratio statistic of each word for being more common in positive texts; else 0."""
+    p, u = len(positive), len(unlabelled)
+    in_p = np.bincount(np.concatenate(positive), minlength=1 << BITS)
+    in_u = np.bincount(np.concatenate(unlabelled), minlength=1 << BITS)
+
+    def likelihood(k: np.ndarray, n: int) -> np.ndarray:
+        share = np.clip(k / n, 1e-12, 1 - 1e-12)
+        return k * np.log(share) + (n - k) * np.log1p(-share)
+
+    gain = 2 * (likelihood(in_p, p) + likelihood(in_u, u) - likelihood(in_p + in_u, p + u))
+    return np.where(in_p * u > in_u * p, gain, 0)
+
+
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 0, epochs: int = 25, batch: int = 512, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """Non-negative PU learning of a linear model by Adam. Texts are arrays of distinct features."""
-    model = Model(np.zeros(1 << BITS), float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3))), damping)
+    model = Model(np.zeros(1 << BITS), float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3))))
     if not positive or not unlabelled:
         return model
+    useful = gains(positive, unlabelled) > MIN_GAIN
+    positive, unlabelled = ([x[useful[x]] for x in texts] for texts in (positive, unlabelled))
     rng = np.random.default_rng(seed)
     share = len(positive) / (len(positive) + len(unlabelled))
     steps = -(-(len(positive) + len(unlabelled)) // batch)
@@ -79,18 +95,17 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
             words = np.concatenate(picked)
             rows = np.repeat(np.arange(len(picked)), sizes)
             value = model.values(rows, words, len(picked))
-            sigmoid = 1 / (1 + np.exp(-np.clip(value, -40, 40)))
-            slope = sigmoid * (1 - sigmoid)
+            chance = 1 / (1 + np.exp(-np.clip(value, -40, 40)))
             is_p = np.arange(len(picked)) < size_p
-            # Sigmoid loss: l(v, +1) = sigmoid(-v), l(v, -1) = sigmoid(v).
-            negative_risk = sigmoid[~is_p].mean() - prior * sigmoid[is_p].mean()
-            as_negative = np.where(is_p, -prior / size_p, 1 / size_u) * slope
+            # Logistic loss: l(v, +1) = log(1 + exp(-v)) with slope chance - 1; l(v, -1) = log(1 + exp(v)) with slope chance.
+            as_negative_loss = np.logaddexp(0, value)
+            negative_risk = as_negative_loss[~is_p].mean() - prior * as_negative_loss[is_p].mean()
+            as_negative = np.where(is_p, -prior / size_p, 1 / size_u) * chance
             if negative_risk < 0:
                 gradient = -as_negative
             else:
-                gradient = np.where(is_p, -prior / size_p, 0) * slope + as_negative
-            scaled = gradient / np.sqrt(damping + sizes)
-            g = np.bincount(words, scaled[rows], minlength=1 << BITS) + decay * model.weights
+                gradient = np.where(is_p, prior / size_p * (chance - 1), 0) + as_negative
+            g = np.bincount(words, gradient[rows], minlength=1 << BITS) + decay * model.weights
             first += 0.1 * (g - first)
             second += 0.001 * (g * g - second)
             model.weights -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
