@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm import urls
 from tessera.llm.quality import MIN_GROUP, RULES
 
 _MEASURES = r"""
@@ -59,4 +60,61 @@ FROM m LEFT JOIN g ON m.lang IS NOT DISTINCT FROM g.lang AND m.source IS NOT DIS
 LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang CROSS JOIN a"""
 
 
-ORACLES: dict[str, str] = {"op2_quality_rules": _quality()}
+def _urls(rules: list[urls.Rule]) -> str:
+    fits = [
+        (len(h + p), h + p, k, f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))")
+        for k, h, p in rules
+    ]
+    cases = sorted(fits, reverse=True)
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{text}'" for _, text, _, f in cases) + " END"
+    ruled = "CASE " + " ".join(f"WHEN {f} THEN '{kind}'" for _, _, kind, f in cases) + " END"
+    steps, last = [], "t0"
+    for i in range(1, urls.LEVELS + 1):
+        steps.append(f"""
+k{i} AS (SELECT host, prefix, seg[{i}] AS s, sum(n) AS n FROM {last} WHERE seg[{i}] IS NOT NULL GROUP BY ALL),
+v{i} AS (SELECT host, prefix FROM k{i} GROUP BY ALL
+         HAVING count(*) >= {urls.MIN_CHILDREN} AND count(*) >= {urls.RARE_SHARE} * sum(n)),
+t{i} AS (SELECT t.host, path, n, labelled, bad, seg, t.prefix || CASE WHEN seg[{i}] IS NULL THEN ''
+           WHEN v.host IS NOT NULL THEN '/*' ELSE '/' || seg[{i}] END AS prefix
+         FROM {last} t LEFT JOIN v{i} v ON t.host = v.host AND t.prefix = v.prefix),""")
+        last = f"t{i}"
+    a = urls.STRENGTH
+    return f"""WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages
+),
+r AS (SELECT *, {rule} AS rule, {ruled} AS ruled FROM p),
+t0 AS (
+  SELECT host, path, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS bad,
+         list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(s, '[0-9]+', '*', 'g')) AS seg,
+         '' AS prefix
+  FROM r GROUP BY host, path
+),{"".join(steps)}
+tree AS (SELECT t.host, t.path, t.labelled, t.bad, b.prefix AS branch,
+           t.prefix || CASE WHEN len(t.seg) > {urls.LEVELS} THEN '/**' ELSE '' END AS template
+         FROM {last} t JOIN t1 b ON t.host = b.host AND t.path = b.path),
+leaf AS (SELECT host, branch, template, sum(labelled) AS labelled, sum(bad) AS bad FROM tree GROUP BY ALL),
+h AS (SELECT host, sum(labelled) AS hl, sum(bad) AS hb FROM leaf GROUP BY host),
+g AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(labelled), 0) + 2) AS prior FROM leaf),
+br AS (SELECT b.host, b.branch, hl, hb, labelled, bad,
+         CASE WHEN labelled >= {urls.MIN_LABELLED} AND abs(bad / labelled - hb / hl) > {urls.Z} * sqrt((hb / hl) * (1 - hb / hl) / labelled)
+              THEN b.branch ELSE '~' END AS merged
+       FROM (SELECT host, branch, sum(labelled) AS labelled, sum(bad) AS bad FROM leaf GROUP BY ALL) b JOIN h ON b.host = h.host),
+pool AS (SELECT host, merged, sum(labelled) AS pl, sum(bad) AS pb FROM br GROUP BY ALL),
+pure AS (
+  SELECT l.host, l.template, l.branch,
+         (l.bad + {a} * ((pb + {a} * ((hb + {a} * prior) / (hl + {a}))) / (pl + {a}))) / (l.labelled + {a}) AS purity
+  FROM leaf l JOIN br ON l.host = br.host AND l.branch = br.branch
+  JOIN pool ON br.host = pool.host AND br.merged = pool.merged CROSS JOIN g
+)
+SELECT page_id, r.host, r.path, rule, coalesce(ruled, CASE WHEN purity >= {urls.REJECT} THEN 'block' ELSE 'allow' END) AS verdict,
+       tree.template, purity
+FROM r JOIN tree ON r.host = tree.host AND r.path = tree.path
+JOIN pure ON tree.host = pure.host AND tree.template = pure.template AND tree.branch = pure.branch"""
+
+
+def oracles(rules: list[urls.Rule]) -> dict[str, str]:
+    return {"op2_quality_rules": _quality(), "op10_url_templates": _urls(rules)}
+

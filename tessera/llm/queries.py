@@ -8,9 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, quality, sharding, toxicity
-from tessera.llm.oracles import ORACLES as ORACLES
-
+from tessera.llm import bpe, decontam, quality, sharding, toxicity, urls
+from tessera.llm.oracles import oracles
+
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -45,10 +52,17 @@ def op7_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.flag_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_feistel_shards": op3_feistel_shards,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_pu_toxicity": op5_pu_toxicity,
     "op7_pigeonhole_decontamination": op7_pigeonhole_decontamination,
+    "op10_url_templates": op10_url_templates,
 }
+
+ORACLES: dict[str, str] = oracles(URL_RULES)
