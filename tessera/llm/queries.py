@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, quality, sharding, toxicity, urls
+from tessera.llm import bpe, decontam, language_model, quality, sharding, toxicity, urls
 from tessera.llm.oracles import oracles
 
 URL_RULES = [
@@ -25,6 +25,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_documents(_table(spark, sf_dir, "documents"))
     return scored.select(
@@ -57,6 +61,7 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_quality_rules": op2_quality_rules,
     "op3_feistel_shards": op3_feistel_shards,
     "op4_byte_bpe": op4_byte_bpe,
