@@ -186,6 +186,32 @@ def answer(asked: DataFrame, columns: int, widths: tuple[int, ...] = (8,)) -> Da
     return asked.select("chunk", "part", "keys", "values").groupBy("part").applyInArrow(run, ANSWERED)
 
 
+def repeats(asked: DataFrame) -> DataFrame:
+    """For each request, those of its keys whose numbers add up to more than one, in order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        chunks, parts = table.column("chunk").to_pylist(), table.column("part").to_pylist()
+        keys = [np.frombuffer(k.as_buffer(), dtype="<u8") for k in table.column("keys")]
+        counts = [expand_numbers(v.as_py()) for v in table.column("values")]
+        _, place = distinct(np.concatenate(keys))
+        often = np.bincount(place, np.concatenate(counts))[place] > 1
+        rows, at = [], 0
+        for chunk, part, k in zip(chunks, parts, keys, strict=True):
+            found = k[often[at : at + len(k)]]
+            at += len(k)
+            if len(found):
+                rows.append({"chunk": chunk, "part": part, "answers": found.tobytes()})
+        return pa.Table.from_batches([batch_of(rows, ANSWERED)])
+
+    return asked.select("chunk", "part", "keys", "values").groupBy("part").applyInArrow(run, ANSWERED)
+
+
+def read_keys(table: pa.Table) -> np.ndarray:
+    """Keys that `repeats` sent to one chunk, sorted."""
+    rows = sorted(zip(table.column("part").to_pylist(), table.column("answers").to_pylist(), strict=True))
+    return np.frombuffer(b"".join(a for _, a in rows), dtype="<u8").astype(np.uint64)
+
+
 def read_answers(table: pa.Table, columns: int) -> np.ndarray:
     """All answers to one chunk, in the order of its sorted keys: one row per column."""
     rows = sorted(zip(table.column("part").to_pylist(), table.column("answers").to_pylist(), strict=True))
