@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, language_model, quality, sharding, substring, toxicity, urls
+from tessera.llm import bpe, decontam, language_model, near_dups, quality, sharding, substring, toxicity, urls
 from tessera.llm.oracles import oracles
 
 URL_RULES = [
@@ -56,6 +56,10 @@ def op7_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.flag_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.classify(_table(spark, sf_dir, "documents"))
+
+
 def op9_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_windows(_table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_pu_toxicity": op5_pu_toxicity,
     "op7_pigeonhole_decontamination": op7_pigeonhole_decontamination,
+    "op8_order_minhash": op8_order_minhash,
     "op9_super_kmer_dedup": op9_super_kmer_dedup,
     "op10_url_templates": op10_url_templates,
 }
