@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, language_model, near_dups, quality, sharding, substring, toxicity, urls
+from tessera.llm import bpe, decontam, language_model, line_dedup, near_dups, quality, sharding, substring, toxicity, urls
 from tessera.llm.oracles import oracles
 
 URL_RULES = [
@@ -52,6 +52,10 @@ def op5_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.flag_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_feistel_shards": op3_feistel_shards,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_pu_toxicity": op5_pu_toxicity,
+    "op6_patience_line_dedup": op6_patience_line_dedup,
     "op7_pigeonhole_decontamination": op7_pigeonhole_decontamination,
     "op8_order_minhash": op8_order_minhash,
     "op9_super_kmer_dedup": op9_super_kmer_dedup,
