@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessera.plans import text_plans
+from tessera.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-FLAGSHIP = "quality_by_language"
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def quality_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
-
-
-QUERIES["quality_by_language"] = quality_by_language
-ORACLES["quality_by_language"] = "SELECT lang, count(*) AS count FROM documents GROUP BY lang"
+FLAGSHIP = "en_ratio"
+MODULES = [text_plans]
+QUERIES: dict[str, Query] = {k: q for m in MODULES for k, q in m.R.queries.items()}
+ORACLES: dict[str, str] = {k: s for m in MODULES for k, s in m.R.oracles.items()}
