@@ -137,10 +137,6 @@ def text_loss(original: Column, candidate: Column, translated: Column) -> Column
 
 def max_trigram(text: Column) -> Column:
     """Greatest count of one run of three words, for texts of more than 20 words."""
-    w = words(text)
-    grams = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.concat_ws(" ", F.slice(w, i, 3)))
-    ordered = F.sort_array(grams)
-
     def longest(items: Column) -> Column:
         start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
@@ -150,7 +146,12 @@ def max_trigram(text: Column) -> Column:
 
         return F.aggregate(items, start, step, lambda acc: acc["best"])
 
-    return F.when(F.size(w) > 20, longest(ordered)).otherwise(F.lit(0)).cast("long")
+    def counted(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.concat_ws(" ", F.slice(w, i, 3)))
+        return F.when(F.size(w) > 20, longest(F.sort_array(grams))).otherwise(F.lit(0))
+
+    # A one-element transform binds the words once; an expression would be evaluated for each gram.
+    return F.transform(F.array(words(text)), counted)[0].cast("long")
 
 
 def unwrap_json(text: Column, keys: list[str]) -> Column:
