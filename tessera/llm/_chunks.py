@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from tessera.llm._bytes import blocks, string_parts
 from tessera.llm._spark import materialise, text_of
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
 PACKED = "chunk long, kind int, ids binary, nulls binary, sizes binary, body binary"
 ASKED = "chunk long, part int, keys binary, values binary"
@@ -71,6 +71,12 @@ class Chunk:
         return {"chunk": chunk, "kind": kind, "ids": squeeze(self.ids.astype("<i8").tobytes()), "nulls": squeeze(self.nulls.tobytes()), "sizes": squeeze(sizes.tobytes()), "body": squeeze(self.data.tobytes())}
 
 
+def packed_rows(table: pa.Table | pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a packed table, one at a time."""
+    for i in range(table.num_rows):
+        yield table.slice(i, 1).to_pylist()[0]
+
+
 def unpack(row: dict) -> Chunk:
     sizes = np.frombuffer(expand(row["sizes"]), dtype="<i8")
     return Chunk(
@@ -220,8 +226,8 @@ def read_answers(table: pa.Table, columns: int) -> np.ndarray:
 
 
 def parts_for(chunks: DataFrame) -> int:
-    """Parts for the keys of all chunks: as many as shuffle partitions, more for very many chunks."""
-    return max(1, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks.count() // 8)
+    """Parts for the keys of all chunks: two a shuffle partition, more for very many chunks."""
+    return max(1, 2 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks.count() // 8)
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._bytes import blocks, mix, word_hashes, word_spans
-from tessera.llm._chunks import ASKED, Chunk, answer, ask, batch_of, distinct, pack, parts_for, read_answers, unpack
+from tessera.llm._chunks import ASKED, Chunk, answer, ask, batch_of, distinct, pack, packed_rows, parts_for, read_answers, unpack
 from tessera.llm._spark import materialise
 
 FOLDS, HELD_OUT = 7, 2
@@ -92,7 +92,7 @@ def _requests(rows: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for packed in batch.to_pylist():
+            for packed in packed_rows(batch):
                 t = tokens_of(unpack(packed))
                 for kind, keys, at, width in ((0, t.words, t.word_at, 8), (1, t.grams, t.gram_at, BIGRAM_BYTES)):
                     counts = np.zeros((len(keys), 2), np.int64)
@@ -135,7 +135,7 @@ def _held_out_counts(chunks: DataFrame, answers: DataFrame, tokens: int) -> np.n
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for packed in left.to_pylist():
+        for packed in packed_rows(left):
             t, words, grams = _lookup(unpack(packed), right)
             contexts = _contexts(t, words[0])
             cell = _bucket(contexts) << 32 | bins(contexts, grams[0][t.gram_at]) << 16 | bins(tokens, words[0][t.word_at])
@@ -185,7 +185,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for packed in left.to_pylist():
+        for packed in packed_rows(left):
             chunk = unpack(packed)
             t, word_counts, gram_counts = _lookup(chunk, right)
             word_counts, gram_counts = word_counts.sum(axis=0), gram_counts.sum(axis=0)
