@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._bytes import blocks, gram_hashes, sliding_min, word_hashes, word_spans
-from tessera.llm._chunks import ANSWERED, ASKED, PACKED, Chunk, answer, ask, batch_of, distinct, expand, pack, part_of, parts_for, read_answers, read_keys, repeats, squeeze, unpack
+from tessera.llm._chunks import ANSWERED, ASKED, PACKED, Chunk, answer, ask, batch_of, distinct, expand, pack, packed_rows, part_of, parts_for, read_answers, read_keys, repeats, squeeze, unpack
 from tessera.llm._spark import materialise
 
 WINDOW = 20
 MINIMISER = 8
+# Buckets of strings for each part of keys: strings take more memory than keys.
+BUCKETS_PER_PART = 4
 _DONE = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _SENT = "chunk long, part int, strings binary, ids binary, starts binary"
 
@@ -114,7 +116,7 @@ def dedup_windows(docs: DataFrame) -> DataFrame:
 
     def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for packed in batch.to_pylist():
+            for packed in packed_rows(batch):
                 keys, counts = Words(unpack(packed)).minimisers()
                 yield batch_of(ask(packed["chunk"], keys, counts[:, None], parts), ASKED)
 
@@ -125,7 +127,7 @@ def dedup_windows(docs: DataFrame) -> DataFrame:
 
     def windows(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for packed in left.to_pylist():
+        for packed in packed_rows(left):
             w = Words(unpack(packed))
             keys, _ = w.minimisers()
             often = keys[read_answers(right, 1)[0] > 1]
@@ -147,10 +149,10 @@ def dedup_windows(docs: DataFrame) -> DataFrame:
 
     def strings(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for packed in left.to_pylist():
+        for packed in packed_rows(left):
             w = Words(unpack(packed))
             first = _first_places(w, right)[1]
-            out += _super_kmers(w, first, packed["chunk"], parts)
+            out += _super_kmers(w, first, packed["chunk"], parts * BUCKETS_PER_PART)
         return pa.Table.from_batches([batch_of(out, _SENT)])
 
     sent = rest.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(strings, _SENT)
@@ -161,11 +163,11 @@ def dedup_windows(docs: DataFrame) -> DataFrame:
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for packed in left.to_pylist():
+        for packed in packed_rows(left):
             w = Words(unpack(packed))
             is_first = right.column("first").to_numpy(zero_copy_only=False).astype(bool)
             again, mine = _first_places(w, right.filter(pa.array(~is_first)))
-            kept = _kept_places(w, mine, right.filter(pa.array(is_first)), parts)
+            kept = _kept_places(w, mine, right.filter(pa.array(is_first)), parts * BUCKETS_PER_PART)
             gone = again.copy()
             gone[kept] = False
             change = np.zeros(len(w.rows) + 1, np.int64)
@@ -241,13 +243,15 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     known: dict[bytes, int] = {}
     numbers, lengths, ids, starts = [], [], [], []
     for r in rows:
+        own = []
         for text in expand(r["strings"]).split(b"\n"):
             words = text.split(b" ")
-            numbers += [known.setdefault(x, len(known)) for x in words]
+            own += [known.setdefault(x, len(known)) for x in words]
             lengths.append(len(words))
+        numbers.append(np.array(own, dtype=np.int64))
         ids.append(np.frombuffer(expand(r["ids"]), dtype="<i8"))
         starts.append(np.frombuffer(expand(r["starts"]), dtype="<i8"))
-    rank = np.array(numbers, dtype=np.int64)
+    rank = np.concatenate(numbers)
     sizes = np.array(lengths)
     ranks = {1: rank}
     for k in (2, 4, 8, 16):
