@@ -271,8 +271,8 @@ def encode_block(data: np.ndarray, offsets: np.ndarray, pieces: PieceCache) -> l
     """Ids of every row of a block, as little-endian 32-bit integers."""
     starts = piece_starts(data, offsets)
     raw = data.tobytes()
-    cuts = starts.tolist()
-    coded = pieces.code([raw[a:b] for a, b in zip(cuts, cuts[1:] + [len(raw)], strict=True)])
+    cuts = [*starts.tolist(), len(raw)]
+    coded = pieces.code([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
     rows = np.searchsorted(starts, offsets).tolist()
     return [b"".join(coded[a:b]) for a, b in zip(rows[:-1], rows[1:], strict=True)]
 
