@@ -133,8 +133,8 @@ def dead_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.join(dead, "event_type", "left_anti").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@R.add(f"""WITH {SCORE_CTE}, b AS (SELECT source, arg_max(doc_id, doc_id) FILTER (score >= 4) AS newest, avg(score) FILTER (doc_id % 2 = 0) - avg(score) FILTER (doc_id % 2 = 1) AS fall FROM sc GROUP BY source)
-SELECT source, newest, CASE WHEN fall > .3 THEN 'rollback' ELSE 'aktivan' END AS state FROM b""")
+@R.add(f"""WITH {SCORE_CTE}, runs AS (SELECT source, arg_max(doc_id, doc_id) FILTER (score >= 4) AS newest, avg(score) FILTER (doc_id % 2 = 0) - avg(score) FILTER (doc_id % 2 = 1) AS fall FROM sc GROUP BY source)
+SELECT source, newest, CASE WHEN fall > .3 THEN 'rollback' ELSE 'aktivan' END AS state FROM runs""")
 def rollback_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.col("doc_id") % 2 == 0
     runs = scored(spark, sf_dir).groupBy("source").agg(F.max(F.when(F.col("score") >= 4, F.col("doc_id"))).alias("newest"), (F.avg(F.when(even, F.col("score"))) - F.avg(F.when(~even, F.col("score")))).alias("fall"))
@@ -154,9 +154,9 @@ def fallback_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(text.alias("summary"))
 
 
-@R.add("SELECT user_id, string_agg('<navPoint playOrder=\"' || event_id || '\"/>', '' ORDER BY event_id) AS toc FROM events WHERE event_id < 500 GROUP BY user_id")
+@R.add("SELECT user_id, string_agg('<navPoint playOrder=\"' || event_id || '\"/>', '' ORDER BY event_id) AS toc FROM events GROUP BY user_id")
 def contents_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = table(spark, sf_dir, "events").where("event_id < 500").select("user_id", F.struct("event_id", F.format_string('<navPoint playOrder="%d"/>', "event_id").alias("t")).alias("p"))
+    points = table(spark, sf_dir, "events").select("user_id", F.struct("event_id", F.format_string('<navPoint playOrder="%d"/>', "event_id").alias("t")).alias("p"))
     return points.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list("p")).getField("t"), "").alias("toc"))
 
 
