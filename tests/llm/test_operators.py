@@ -164,6 +164,21 @@ def test_near_duplicates(spark, docs, none):
     assert near_dups.classify(none).count() == 0
 
 
+def test_scattered_edits_are_near_duplicates(spark):
+    import random
+
+    rng = random.Random(11)
+    edited = lambda w, n: [f"new{rng.random()}" if i in set(at) else x for at in [rng.sample(range(len(w)), n)] for i, x in enumerate(w)]
+    rows, n = [], 80
+    for i in range(n):
+        long, short = ([f"w{i}x{k}x{size}" for k in range(size)] for size in (100, 5 + i % 10))
+        rows += [(i, " ".join(long)), (1000 + i, " ".join(edited(long, 13 + i % 7)))]
+        rows += [(2000 + i, " ".join(short)), (3000 + i, " ".join(edited(short, len(short) // 5)))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.classify(frame(spark, rows)).collect()}
+    assert sum(got[1000 + i] == i for i in range(n)) >= 0.95 * n
+    assert all(got[3000 + i] == 2000 + i for i in range(n))
+
+
 def test_bucket_of_dissimilar_texts_terminates(spark):
     # Texts of 40 shared and 40 own words collide in many buckets but are not similar.
     shared = " ".join(f"s{i}" for i in range(40))
