@@ -117,6 +117,27 @@ def test_line_common_to_many_texts_keeps_its_first(spark):
     assert got[0] == 0 and all(got[i] == 1 for i in range(1, 40))
 
 
+def test_line_dedup_aligns_all_overlapping_documents(spark):
+    import random
+
+    rng = random.Random(3)
+    pool = [f"common line number {i} with some words" for i in range(6)] + [f"verse {i}" for i in range(12)] + [f"{i}" for i in range(4)] + [f"four words in {i}" for i in range(3)]
+    rows = [(d, "\n".join(x for _ in range(rng.randint(2, 5)) for x in (rng.choice(pool), f"own words of document {d} at {rng.random()}", *rng.choices(pool, k=rng.randint(0, 4))))) for d in range(70)]
+    held = collections.Counter(x for _, t in rows for x in set(t.split("\n")))
+    kept = {d: [(i, x, len(words(x))) for i, x in enumerate(t.split("\n")) if held[x] > 1] for d, t in rows}
+    want = {d: len({i for e in range(d) for i in line_dedup.common_blocks(kept[d], [x[:2] for x in kept[e]])}) for d, _ in rows}
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.report(frame(spark, rows)).collect()}
+    assert got == want
+
+
+def test_line_dedup_of_short_lines_and_unspaced_texts(spark):
+    verse = "\n".join(f"verse {i}" for i in range(30))
+    chinese = "\u8fd9\u662f\u4e00\u884c\u5f88\u5e38\u89c1\u7684\u6587\u5b57"
+    rows = [(1, f"first own words here\n{verse}"), (2, f"{verse}\nother own words here"), (3, f"{chinese}\n\u7532"), (4, f"\u4e59\n{chinese}"), (5, chinese), (6, chinese)]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.report(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 30, 3: 0, 4: 1, 5: 1, 6: 1}
+
+
 def test_decontamination(spark, docs, none):
     item = " ".join(f"word{i}" for i in range(32))
     edited = item.replace("word5 ", "other ").replace("word20", "WORD20,")
