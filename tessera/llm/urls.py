@@ -2,7 +2,8 @@
 
 Distinct (host, path) pairs carry their row counts and labels. Level by level, each node (host,
 prefix) of the tree counts its children; digits within a segment, and all segments below a node
-with many, mostly rare children, become wildcards. Templates are the leaves. Labelled urls give
+with many, mostly rare children, become wildcards. The tree grows until no node that could still
+get a wildcard has a further segment. Templates are the leaves. Labelled urls give
 each template, branch (first segment) and host a rate of bad urls. Branches whose rate does not
 differ from their host's by a two-sided test merge into one; the smoothed purity of a template
 shrinks to its branch, the branch to the host, the host to all labelled urls. A template of purity
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._spark import materialise
 
-LEVELS = 3
+LEVELS = 3  # of the SQL beside, which equals the tree on paths of so many segments
 MIN_CHILDREN = 8
 RARE_SHARE = 0.3
 MIN_LABELLED = 5
@@ -53,22 +54,34 @@ def templates(paths: DataFrame) -> DataFrame:
     """Adds branch and template to distinct (host, path) rows with a count `n`."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     out = paths.withColumn("_segments", F.transform(segments, lambda s: F.regexp_replace(s, "[0-9]+", "*"))).withColumn("_prefix", F.lit(""))
-    for level in range(LEVELS):
+    done, level = None, 0
+    while True:
         out = out.withColumn("_segment", F.get("_segments", F.lit(level)))
-        children = out.where(F.col("_segment").isNotNull()).groupBy("host", "_prefix", "_segment").agg(F.sum("n").alias("n"))
-        wild = (
+        children = out.where(F.col("_segment").isNotNull()).groupBy("host", "_prefix", "_segment").agg(F.sum("n").alias("n"), F.count("*").alias("paths"))
+        nodes = (
             children.groupBy("host", "_prefix")
-            .agg(F.count("*").alias("_children"), F.sum("n").alias("_rows"))
-            .where((F.col("_children") >= MIN_CHILDREN) & (F.col("_children") >= RARE_SHARE * F.col("_rows")))
-            .select("host", "_prefix", F.lit(True).alias("_wild"))
-        )
+            .agg(F.count("*").alias("_children"), F.sum("n").alias("_rows"), F.sum("paths").alias("_paths"))
+            .select(
+                "host", "_prefix",
+                ((F.col("_children") >= MIN_CHILDREN) & (F.col("_children") >= RARE_SHARE * F.col("_rows"))).alias("_wild"),
+                (F.col("_paths") < MIN_CHILDREN).alias("_few"),
+            )
+        )
         step = F.when(F.col("_segment").isNull(), "").when(F.col("_wild"), "/*").otherwise(F.concat(F.lit("/"), "_segment"))
-        out = out.join(wild, ["host", "_prefix"], "left").withColumn("_prefix", F.concat("_prefix", step)).drop("_wild", "_segment")
+        out = out.join(nodes, ["host", "_prefix"], "left").withColumn("_step", F.concat("_prefix", step))
         if level == 0:
-            out = out.withColumn("branch", F.col("_prefix"))
+            out = out.withColumn("branch", F.col("_step"))
+        level += 1
+        # Below a node of few paths no node has enough children for a wildcard: its paths stay as they are.
+        rest = F.when(F.col("_few"), F.array_join(F.transform(F.slice("_segments", level + 1, 1 << 30), lambda s: F.concat(F.lit("/"), s)), "")).otherwise("")
+        ended = F.coalesce("_few", F.lit(False)) | (F.size("_segments") <= level)
+        out = out.withColumn("_prefix", F.concat("_step", rest)).withColumn("_ended", ended).drop("_wild", "_few", "_step", "_segment")
         out = materialise(out, f"level{level}")
-    tail = F.when(F.size("_segments") > LEVELS, "/**").otherwise("")
-    return out.withColumn("template", F.concat("_prefix", tail)).drop("_segments", "_prefix")
+        part = out.where("_ended").withColumn("template", F.col("_prefix")).drop("_segments", "_prefix", "_ended")
+        done = part if done is None else done.union(part)
+        out = out.where("NOT _ended").drop("_ended")
+        if not out.limit(1).count():
+            return done
 
 
 def purities(tree: DataFrame) -> DataFrame:

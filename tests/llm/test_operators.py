@@ -244,6 +244,14 @@ def test_urls(spark):
     assert urls.judge_urls(bad.limit(0), rules).count() == 0
 
 
+def test_urls_that_differ_in_deep_segments(spark):
+    rows = [(i, f"http://h.org/a/b/c/d/{'spam' if i < 40 else 'good'}/{'abcdefghijklmnop'[i % 16]}{'xyz'[i % 3]}{i}/p") for i in range(80)]
+    rows += [(100 + i, f"http://few.org/a/b/c/{'de'[i]}/p") for i in range(2)]
+    got = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), [], F.when(F.col("page_id") % 2 == 0, F.col("page_id") < 40)).collect()}
+    assert all(got[i]["verdict"] == ("block" if i < 40 else "allow") for i in range(80))
+    assert got[0]["template"] == "/a/b/c/d/spam/*/p" and got[101]["template"] == "/a/b/c/e/p"
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
