@@ -206,14 +206,22 @@ def exemplars_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_rows(latest, ["lang"], [F.desc("quality"), F.asc("doc_id")], 20).select("lang", "doc_id")
 
 
+LISTED = 10_000
+GRAM = 8
+
+
 @R.add("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(left(b.text, 30)))")
 def relevant_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms contained in texts: the glossary is a small stated list, counted before it becomes literals."""
+    """Terms contained in texts: a small glossary becomes literals; beyond, terms meet the texts that
+    have their first GRAM characters, and shorter terms meet all texts. The results are the same."""
     terms = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.left("text", F.lit(30))).alias("term"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
-    if terms.count() > 10_000:  # beyond literals: one join on the first word of the term
-        first = docs.select("doc_id", "low", F.explode(F.array_distinct(F.split("low", r"\W+"))).alias("word"))
-        return terms.withColumn("word", F.split("term", r"\W+")[0]).join(first, "word").where("contains(low, term)").select("item_id", "doc_id")
+    if terms.count() > LISTED:
+        starts = F.sequence(F.lit(1), F.length("low") - (GRAM - 1))
+        grams = docs.where(F.length("low") >= GRAM).select("doc_id", "low", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("low"), i, F.lit(GRAM))))).alias("gram"))
+        long = terms.where(F.length("term") >= GRAM).withColumn("gram", F.left("term", F.lit(GRAM))).join(grams, "gram")
+        short = terms.where(F.length("term") < GRAM).join(docs, F.contains("low", "term"))
+        return long.where("contains(low, term)").select("item_id", "doc_id").union(short.select("item_id", "doc_id"))
     listed = [F.when(F.col("low").contains(r["term"]), F.lit(r["item_id"]).cast("long")) for r in terms.collect()]
     found = docs.select("doc_id", F.explode(F.array_compact(F.array(*listed))).alias("item_id"))
     return found.select("item_id", "doc_id")

@@ -14,6 +14,19 @@ def test_query_without_sql_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF_DIR).count() > 0
 
 
+def test_large_glossary_matches_sql(spark, tmp_path, monkeypatch):
+    from tessera.plans import block_plans
+
+    monkeypatch.setattr(block_plans, "LISTED", 0)
+    spark.createDataFrame([(1, "at the old stone house by the river bank"), (2, "(note) on it"), (3, "abc"), (4, None)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/b")
+    spark.createDataFrame([(1, "That the Old Stone House by the river bank"), (2, "a (note) on it, xabcx"), (3, "ab"), (4, None)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    for name, folder in (("benchmark", "b"), ("documents", "d")):
+        next((tmp_path / folder).glob("*.parquet")).rename(tmp_path / f"{name}.parquet")
+    compare(spark, catalog.QUERIES["relevant_glossary"], catalog.ORACLES["relevant_glossary"], str(tmp_path))
+    found = catalog.QUERIES["relevant_glossary"](spark, str(tmp_path)).collect()
+    assert sorted((r.item_id, r.doc_id) for r in found) == [(1, 1), (2, 2), (3, 2)]
+
+
 def test_entry(spark):
     import __spark_entry__
 
