@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.ordering import global_row_number
 from tessera.plans.registry import Registry
 from tessera.sources.tables import table
 
@@ -284,8 +285,11 @@ def paragraph_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(r"""SELECT item_id, regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' +', ' ', 'g'), '^ | $', '', 'g') AS norm,
   levenshtein(left(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 40), left(regexp_replace(lead(text) OVER (ORDER BY item_id), '[^a-zA-Z ]', '', 'g'), 40))::BIGINT AS to_next FROM benchmark""")
 def name_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Neighbours by id: joined on id + 1 rather than by one window over everything.
+    # Neighbours by id, gaps or not: joined on row numbers rather than by one window over everything.
     items = table(spark, sf_dir, "benchmark").withColumn("head", F.left(F.regexp_replace("text", "[^a-zA-Z ]", ""), F.lit(40)))
-    following = items.select((F.col("item_id") - 1).alias("item_id"), F.col("head").alias("following"))
+    numbered = global_row_number(items.where("item_id IS NOT NULL"), "item_id", "place")
+    following = numbered.select((F.col("place") - 1).alias("place"), F.col("head").alias("following"))
+    without = items.where("item_id IS NULL").withColumns({"place": F.lit(None).cast("long"), "following": F.lit(None).cast("string")})
+    paired = numbered.join(following, "place", "left").unionByName(without)
     norm = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " +", " "), "^ | $", "")
-    return items.join(following, "item_id", "left").select("item_id", norm.alias("norm"), F.levenshtein("head", "following").cast("long").alias("to_next"))
+    return paired.select("item_id", norm.alias("norm"), F.levenshtein("head", "following").cast("long").alias("to_next"))

@@ -27,6 +27,13 @@ def test_large_glossary_matches_sql(spark, tmp_path, monkeypatch):
     assert sorted((r.item_id, r.doc_id) for r in found) == [(1, 1), (2, 2), (3, 2)]
 
 
+def test_name_distance_of_ids_with_gaps_matches_sql(spark, tmp_path):
+    rows = [(i, f"name{'abc' * (i % 4)} of an item") for i in (3, 7, 8, 900, -5)]
+    spark.createDataFrame(rows, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/b")
+    next((tmp_path / "b").glob("*.parquet")).rename(tmp_path / "benchmark.parquet")
+    compare(spark, catalog.QUERIES["name_distance"], catalog.ORACLES["name_distance"], str(tmp_path))
+
+
 def test_entry(spark):
     import __spark_entry__
 
