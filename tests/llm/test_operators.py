@@ -169,7 +169,7 @@ def test_near_duplicates(spark, docs, none):
             x = parent[x]
         return x
 
-    for (i, j), d, limit in zip(pairs, near_dups.edit_distances([(hashed[i], hashed[j]) for i, j in pairs], limits), limits, strict=True):
+    for (i, j), d, limit in zip(pairs, (near_dups.edit_distance(hashed[i], hashed[j], limit) for (i, j), limit in zip(pairs, limits, strict=True)), limits, strict=True):
         if d <= limit:
             parent[root(i)] = root(j)
     place = {t: i for i, t in enumerate(texts)}
