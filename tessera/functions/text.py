@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,9 +139,11 @@ def text_loss(original: Column, candidate: Column, translated: Column) -> Column
 
 
 def max_trigram(text: Column) -> Column:
-    """Greatest count of one run of three words, for texts of more than 20 words."""
+    """Greatest count of one run of three words, for texts of more than 20 words. 64-bit hashes stand
+    for the runs."""
+
     def longest(items: Column) -> Column:
-        start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+        start = F.struct(F.lit(0).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
         def step(acc: Column, x: Column) -> Column:
             run = F.when(acc["last"] == x, acc["run"] + 1).otherwise(1)
@@ -147,11 +152,14 @@ def max_trigram(text: Column) -> Column:
         return F.aggregate(items, start, step, lambda acc: acc["best"])
 
     def counted(w: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.concat_ws(" ", F.slice(w, i, 3)))
-        return F.when(F.size(w) > 20, longest(F.sort_array(grams))).otherwise(F.lit(0))
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
-    # A one-element transform binds the words once; an expression would be evaluated for each gram.
-    return F.transform(F.array(words(text)), counted)[0].cast("long")
+    def most(grams: Column) -> Column:
+        return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(1)).otherwise(longest(F.sort_array(grams)))
+
+    # One-element transforms bind an array once; an expression would be evaluated for each element.
+    grams = F.transform(F.filter(F.array(words(text)), lambda w: F.size(w) > 20), counted)
+    return F.coalesce(F.get(F.transform(grams, most), F.lit(0)), F.lit(0)).cast("long")
 
 
 def unwrap_json(text: Column, keys: list[str]) -> Column:
@@ -220,6 +228,40 @@ def typography(text: Column) -> Column:
     return text
 
 
-def rewrite(text: Column, rules: Column) -> Column:
-    """Applies an array of (pattern, replacement) in order, outside tags, whatever the case."""
-    return F.aggregate(rules, text, lambda acc, r: F.regexp_replace(acc, F.concat(F.lit("(?iU)"), r["pattern"], F.lit("(?![^<]*>)")), r["replacement"]))
+def outside_tags(text: Column, change: Callable[[Column], Column]) -> Column:
+    """Applies a change to the pieces of a text that lie outside tags. Split at `<`, a chunk is a tag
+    up to its last `>`; so each character is looked at once, however many matches there are."""
+    first = lambda c: F.regexp_extract(c, r"(?s)^(.*>)?(.*)$", 1)
+    rest = lambda c: F.regexp_extract(c, r"(?s)^(.*>)?(.*)$", 2)
+    parts = F.transform(F.split(text, "<"), lambda c: F.when(c.contains(">"), F.concat(first(c), change(rest(c)))).otherwise(change(c)))
+    return F.array_join(parts, "<")
+
+
+def rewrite(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """Applies (pattern, replacement) pairs in order, outside tags, whatever the case."""
+
+    def change(piece: Column) -> Column:
+        for pattern, new in rules:
+            piece = F.regexp_replace(piece, "(?iU)" + pattern, new)
+        return piece
+
+    return outside_tags(text, change)
+
+
+def rewrite_by(text: Column, rules: Column) -> Column:
+    """The same for an array column of (pattern, replacement), as a table of rules gives."""
+
+    def change(piece: Column) -> Column:
+        return F.aggregate(rules, piece, lambda acc, r: F.regexp_replace(acc, F.concat(F.lit("(?iU)"), r["pattern"]), r["replacement"]))
+
+    return outside_tags(text, change)
+
+
+_SPECIAL = re.compile(r"\\.|\[[^]]*\]|.\?|[][(){}*+.|^$]")
+
+
+def holds(text: Column, pattern: str) -> Column:
+    """Whether a pattern occurs. Patterns of words are first looked for by their longest literal piece."""
+    found = text.rlike("(?U)" + pattern)
+    literal = max(_SPECIAL.split(pattern), key=len) if pattern.startswith(r"\b") else ""
+    return text.contains(literal) & found if literal else found

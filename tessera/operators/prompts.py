@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import outside_tags
+
 # Fixed values: (role, block type) to (added temperature, cap); no cap means a set temperature.
 WARMER = {
     ("LEKTOR", "dijalog"): (0.15, 0.72), ("LEKTOR", "poetski"): (0.25, 0.82), ("LEKTOR", "opis"): (0.05, 0.55),
@@ -70,7 +72,11 @@ def joined_words(text: Column) -> Column:
 
 def renamed(text: Column, pairs: list[tuple[str, str]]) -> Column:
     """Whole-word replacement of names, longest first, that keeps capitals: ALL, Title or as given."""
-    for old, new in sorted(pairs, key=lambda p: (-len(p[0]), p[0])):
-        for form, to in ((old.upper(), new.upper()), (old.lower(), new.lower()), (old, new)):
-            text = F.regexp_replace(text, rf"(?U)\b\Q{form}\E\b(?![^<]*>)", to)
-    return text
+    forms = [f for old, new in sorted(pairs, key=lambda p: (-len(p[0]), p[0])) for f in ((old.upper(), new.upper()), (old.lower(), new.lower()), (old, new))]
+
+    def change(piece: Column) -> Column:
+        for form, to in forms:
+            piece = F.regexp_replace(piece, rf"(?U)\b\Q{form}\E\b", to)
+        return piece
+
+    return outside_tags(text, change)

@@ -54,7 +54,7 @@ REPORT = {"ekavian": (EKAVIAN, 2.0, True), "calques": (CALQUES, 1.5, True), "typ
 
 def matches(text: Column, patterns: list[str]) -> Column:
     """How many of the patterns occur."""
-    found = [F.when(text.rlike("(?U)" + p), 1).otherwise(0) for p in patterns]
+    found = [F.when(T.holds(text, p), 1).otherwise(0) for p in patterns]
     total = F.lit(0)
     for f in found:
         total = total + f
@@ -70,10 +70,12 @@ def heuristic_score(rows: DataFrame, text: str = "text", score: str = "score", r
     n, english, lower, repeat = (F.col(c) for c in ("_length", "_english", "_lower", "_repeat"))
     quotes, dashes = T.count_of(plain, QUOTES), T.count_of(plain, "—")
     speaks = F.exists(F.array(*map(F.lit, SPEECH)), lambda w: lower.contains(w))
+    # Used twice, so Spark keeps it as a column of its own: each pattern is looked for once.
+    out = out.withColumn("_found", F.array(*(T.holds(lower, p) for p, _, _ in PHRASES)))
     weights = F.lit(0.0)
-    for pattern, weight, _ in PHRASES:
-        weights = weights + F.when(lower.rlike("(?U)" + pattern), weight).otherwise(0.0)
-    labels = F.slice(F.array_compact(F.array(*(F.when(lower.rlike("(?U)" + p), F.lit(label)) for p, _, label in PHRASES))), 1, 3)
+    for i, (_, weight, _) in enumerate(PHRASES):
+        weights = weights + F.when(F.get("_found", F.lit(i)), weight).otherwise(0.0)
+    labels = F.slice(F.array_compact(F.array(*(F.when(F.get("_found", F.lit(i)), F.lit(label)) for i, (_, _, label) in enumerate(PHRASES)))), 1, 3)
     heading = F.btrim(plain, F.lit(" \t\n\r")).rlike(r"(?i)^(Chapter|Part|Section)\s+\d+")
     dialogue = F.when((quotes >= 4) & (dashes == 0) & speaks, 1.5).when((quotes >= 6) & (dashes == 0), 1.0).otherwise(0.0)
     penalty = (

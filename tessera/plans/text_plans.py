@@ -266,7 +266,7 @@ _RULES = [("\\bthe\\b", "THE"), ("tion(\\w)", "cion$1"), ("\\bund\\b", "i"), ("\
 
 @R.add(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\bthe\b', 'THE', 'gi'), 'tion([a-z])', 'cion\1', 'gi'), '\bund\b', 'i', 'gi'), '\bde la\b', 'iz', 'gi') AS text FROM documents WHERE lang = 'en'""")
 def rule_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = F.array(*(F.struct(F.lit(p.replace("\\w", "[a-z]")).alias("pattern"), F.lit(r).alias("replacement")) for p, r in _RULES))
+    rules = [(p.replace("\\w", "[a-z]"), r) for p, r in _RULES]
     return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.rewrite(F.col("text"), rules).alias("text"))
 
 

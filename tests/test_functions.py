@@ -52,7 +52,22 @@ def test_blocks_pack_greedily(spark):
 
 def test_rewrite_skips_tags(spark):
     rules = F.array(F.struct(F.lit("dom").alias("pattern"), F.lit("kuća").alias("replacement")))
-    assert _one(spark, '<a title="dom">Dom je dom</a>', lambda t: T.rewrite(t, rules)) == '<a title="dom">kuća je kuća</a>'
+    for change in (lambda t: T.rewrite(t, [("dom", "kuća")]), lambda t: T.rewrite_by(t, rules)):
+        assert _one(spark, '<a title="dom">Dom je dom</a>', change) == '<a title="dom">kuća je kuća</a>'
+        assert _one(spark, "dom > dom <b>dom</b> dom", change) == "dom > kuća <b>kuća</b> kuća"
+        assert _one(spark, "dom < dom", change) == "kuća < kuća"
+        assert _one(spark, None, change) is None
+
+
+def test_holds_looks_for_whole_words(spark):
+    assert _one(spark, "od strane čovjeka", lambda t: T.holds(t, r"\bod strane\s+\w+a\b"))
+    assert not _one(spark, "od stranex čovjeka", lambda t: T.holds(t, r"\bod strane\s+\w+a\b"))
+    assert _one(spark, "posedujem", lambda t: T.holds(t, r"\bposedujem?\b")) and not _one(spark, "posedujemo", lambda t: T.holds(t, r"\bposedujem?\b"))
+
+
+def test_max_trigram_counts_the_commonest_run(spark):
+    assert _one(spark, "a b c " * 8, T.max_trigram) == 8 and _one(spark, " ".join(map(str, range(30))), T.max_trigram) == 1
+    assert _one(spark, "a b c " * 6, T.max_trigram) == 0 and _one(spark, "", T.max_trigram) == 0
 
 
 def test_length_flag_bounds(spark):
