@@ -2,6 +2,13 @@
 
 Five stages, each over all that the one before kept: quality rules, line dedup, near-dedup,
 benchmark decontamination, byte-level BPE. Each stage's result is written and read again.
+
+Null and empty texts fail the quality rules and go there; run on their own, the later stages keep
+null texts as they are, and count null and empty texts as one class of copies. Very long texts are
+read whole. Of rows that tie, repeated ones included, near-dedup keeps the one of least id, null
+last; all other stages treat them alike. Empty tables give empty tables. Extra columns, whatever
+their names, pass through all stages but the last, whose columns are its own. `n_chars` follows a
+changed text if there is such a column.
 """
 
 from __future__ import annotations
