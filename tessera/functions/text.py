@@ -181,17 +181,26 @@ def review_reason(score: Column) -> Column:
 
 
 def bigram_set(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, 2)))
+    """The distinct pairs of neighbouring characters; a lookahead finds them in one pass."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(..))"), F.lit(1)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
 
 
+def word_set(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)))
+
+
+def set_change(a: Column, b: Column) -> Column:
+    """Size of the symmetric difference of two sets, relative to the first."""
+    return F.coalesce(F.try_divide(F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)), F.size(a)), F.lit(0.0))
+
+
 def word_change(before: Column, after: Column) -> Column:
     """Symmetric difference of the word sets, relative to the first."""
-    a, b = (F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"(?U)\w+"), F.lit(0))) for x in (before, after))
-    return F.coalesce(F.try_divide(F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)), F.size(a)), F.lit(0.0))
+    return set_change(word_set(before), word_set(after))
 
 
 def homoglyphs(text: Column) -> Column:

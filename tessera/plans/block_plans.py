@@ -99,16 +99,14 @@ def decline_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("name", F.col("forms")["G"].alias("genitive"), F.col("forms")["I"].alias("instrumental"))
 
 
-_CLUES = """WITH cl AS (SELECT user_id % 40 AS name, ts, event_id, CASE WHEN event_id % 7 < 3 THEN 'M' ELSE 'Ž' END AS clue FROM events WHERE event_type IN (SELECT min(event_type) FROM events)),
+_CLUES = """WITH cl AS (SELECT user_id % 40 AS name, ts, event_id, CASE WHEN event_id % 7 < 3 THEN 'M' ELSE 'Ž' END AS clue FROM events),
 k AS (SELECT *, count(*) FILTER (clue = 'M') OVER w AS m, count(*) FILTER (clue = 'Ž') OVER w AS f FROM cl WINDOW w AS (PARTITION BY name ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
 v AS (SELECT *, CASE WHEN m >= 3 AND m > f THEN 'M' WHEN f >= 3 AND f > m THEN 'Ž' END AS verdict FROM k)"""
 
 
 @R.add(f"{_CLUES} SELECT name, count(*) FILTER (clue = 'M') AS clue_m, count(*) FILTER (clue = 'Ž') AS clue_f, first(verdict ORDER BY ts, event_id) FILTER (verdict IS NOT NULL) AS gender FROM v GROUP BY name")
 def gender_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    first_type = events.agg(F.min("event_type").alias("event_type"))
-    clues = events.join(F.broadcast(first_type), "event_type").select((F.col("user_id") % 40).alias("name"), "ts", "event_id", F.when(F.col("event_id") % 7 < 3, "M").otherwise("Ž").alias("clue"))
+    clues = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("name"), "ts", "event_id", F.when(F.col("event_id") % 7 < 3, "M").otherwise("Ž").alias("clue"))
     return N.gender(clues, ["name"], ["ts", "event_id"])
 
 

@@ -180,10 +180,10 @@ def _sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
 
 @R.add(None)
 def similar_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts and documents alike at 0.75 or more. Pairs come from shared five-word runs,
-    which such texts have, never from all pairs."""
+    """Benchmark texts and documents alike at 0.75 or more. Pairs come from shared runs of three words,
+    which an edit in every fourth word leaves; texts alike without such a run are not compared."""
     norm = F.left(F.regexp_replace(F.lower("text"), r"\s+", " "), F.lit(300))
-    runs = lambda df: df.withColumn("run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("t", " ")) - 4, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(F.col("w"), i, 5))))))
+    runs = lambda df: df.withColumn("run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(F.col("w"), i, 3))))))
     items = table(spark, sf_dir, "benchmark").select("item_id", norm.alias("t")).withColumn("w", F.split("t", " "))
     docs = table(spark, sf_dir, "documents").select("doc_id", norm.alias("t")).withColumn("w", F.split("t", " "))
     pairs = runs(items).select("item_id", "run", F.col("t").alias("a")).join(runs(docs).select("doc_id", "run", F.col("t").alias("b")), "run").drop("run").distinct()

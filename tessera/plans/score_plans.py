@@ -169,15 +169,26 @@ def qa_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.withColumn("delta", delta).withColumn("trend", F.when(F.col("delta") > 0, "↑").when(F.col("delta") < 0, "↓").when(F.col("delta") == 0, "→"))
 
 
-@R.add("""
-WITH p AS (SELECT doc_id, left(text, 200) AS a, left(lead(text) OVER (PARTITION BY source ORDER BY doc_id), 200) AS b FROM documents),
-s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(length(a), 2)), lambda i: substr(a, i, 2))) AS x, list_distinct(list_transform(range(1, greatest(length(b), 2)), lambda i: substr(b, i, 2))) AS y FROM p WHERE b IS NOT NULL)
-SELECT doc_id, len(list_intersect(x, y))::DOUBLE / greatest(len(list_distinct(list_concat(x, y))), 1) AS likeness FROM s""")
+def _beside(docs: DataFrame, own: str, next_to: str) -> DataFrame:
+    """doc_id, a value of the document and of the next one of its source. Only ids go through the
+    window; the values, made once per document, meet by id."""
+    order = docs.select("source", "doc_id").withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")))
+    values = docs.select("doc_id", F.col("value").alias(own))
+    following = docs.select(F.col("doc_id").alias("next_id"), F.col("value").alias(next_to))
+    return order.where("next_id IS NOT NULL").join(values, "doc_id").join(following, "next_id").select("doc_id", own, next_to)
+
+
+_PAIRS_OF = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || {0}[i + 1]))"
+
+
+@R.add(f"""
+WITH c AS (SELECT doc_id, source, string_split(text, '') AS c FROM documents),
+s AS (SELECT doc_id, source, {_PAIRS_OF.format("c")} AS x FROM c),
+p AS (SELECT doc_id, x, lead(x) OVER (PARTITION BY source ORDER BY doc_id) AS y FROM s)
+SELECT doc_id, len(list_intersect(x, y))::DOUBLE / greatest(len(list_distinct(list_concat(x, y))), 1) AS likeness FROM p WHERE y IS NOT NULL""")
 def bigram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.left("text", F.lit(200)).alias("a"))
-    pairs = docs.withColumn("b", F.lead("a").over(Window.partitionBy("source").orderBy("doc_id"))).where("b IS NOT NULL")
-    sets = pairs.select("doc_id", T.bigram_set(F.col("a")).alias("x"), T.bigram_set(F.col("b")).alias("y"))
-    return sets.select("doc_id", T.jaccard(F.col("x"), F.col("y")).alias("likeness"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", T.bigram_set(F.col("text")).alias("value"))
+    return _beside(docs, "x", "y").select("doc_id", T.jaccard(F.col("x"), F.col("y")).alias("likeness"))
 
 
 _SET = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}\p{{M}}_]+'))"
@@ -189,9 +200,9 @@ s AS (SELECT doc_id, a, b, {_SET.format("a")} AS x, {_SET.format("b")} AS y FROM
 c AS (SELECT doc_id, (len(list_filter(x, lambda w: NOT list_contains(y, w))) + len(list_filter(y, lambda w: NOT list_contains(x, w))))::DOUBLE / nullif(len(x), 0) AS ch FROM s)
 SELECT doc_id, coalesce(ch, 0.0) AS change, coalesce(ch, 0) <= .05 AS skip FROM c""")
 def word_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("a"))
-    pairs = docs.withColumn("b", F.lead("a").over(Window.partitionBy("source").orderBy("doc_id"))).where("b IS NOT NULL")
-    return pairs.select("doc_id", T.word_change(F.col("a"), F.col("b")).alias("change")).withColumn("skip", F.col("change") <= 0.05)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", T.word_set(F.col("text")).alias("value"))
+    changed = _beside(docs, "x", "y").select("doc_id", T.set_change(F.col("x"), F.col("y")).alias("change"))
+    return changed.withColumn("skip", F.col("change") <= 0.05)
 
 
 @R.add(f"WITH {SCORE_CTE} SELECT s.doc_id, coalesce(score, 10.0) AS score FROM sc s WHERE coalesce(score, 10.0) < 6.5")

@@ -26,10 +26,11 @@ def _found(spark, folder):
 
 def test_planted_texts_equal_brute_force(spark, tmp_path):
     text = "the quick brown fox jumps over the lazy dog and runs far away from the old stone house"
-    rows = [(1, text), (2, text.replace("stone", "wooden")), (3, "something else entirely, with no words of the other"), (4, None), (5, "")]
+    every_fourth = " ".join(w[:-1] + "x" if i % 4 == 3 else w for i, w in enumerate(text.split(" ")))
+    rows = [(1, text), (2, text.replace("stone", "wooden")), (3, "something else entirely, with no words of the other"), (4, None), (5, ""), (6, every_fourth)]
     spark.createDataFrame([(1, text), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert _found(spark, tmp_path) >= {(1, 1), (1, 2)}
+    assert _found(spark, tmp_path) >= {(1, 1), (1, 2), (1, 6)}
     assert not _found(spark, tmp_path) & {(1, 3), (1, 4), (1, 5)}
 
 
