@@ -15,7 +15,8 @@ or all earlier holders met. So the result is that of aligning all documents that
 Codepoints of scripts written without spaces (Chinese, Japanese, Thai and others) count as words.
 
 Lines are compared without surrounding white space; blank lines are never deleted alone. Null and
-empty texts stay as they are. Rows that repeat with id and text are the same document and get the
+empty texts stay as they are, and an empty table gives no rows. Extra columns pass through, whatever
+their names. Rows that repeat with id and text are the same document and get the
 same result. Only lines that occur in several texts travel, as hashes; texts move once, to meet
 the numbers of their deleted lines.
 """
@@ -214,7 +215,7 @@ def _trimmed(text: str, numbers: list[int] | None, copy: bool) -> tuple[str, int
     lines = text.split("\n")
     filled = [bool(x.strip(_WHITE)) for x in lines]
     n = sum(filled)
-    if copy and sum(len(re.findall(_COUNTED, x)) for x in text.split()) >= MIN_BLOCK_WORDS:
+    if copy and len(re.findall(_COUNTED, text)) >= MIN_BLOCK_WORDS:
         return "", n, n
     if not numbers or copy:
         return text, n, 0

@@ -87,7 +87,7 @@ t{i} AS (SELECT t.host, path, n, labelled, bad, seg, t.prefix || CASE WHEN seg[{
 ),
 r AS (SELECT *, {rule} AS rule, {ruled} AS ruled FROM p),
 t0 AS (
-  SELECT host, path, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS bad,
+  SELECT host, path, count(*) AS n, count(ruled) + {urls.UNLABELLED} * (count(*) - count(ruled)) AS labelled, count(*) FILTER (ruled = 'block') AS bad,
          list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(s, '[0-9]+', '*', 'g')) AS seg,
          '' AS prefix
   FROM r GROUP BY host, path

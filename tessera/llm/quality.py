@@ -29,7 +29,7 @@ SKETCH_K = 4096
 RULES = {
     "symbol_rate": (0.005, 4.0, False),
     "dup_line_rate": (0.1, 4.0, False),
-    "repeat_rate": (0.06, 5.0, False),
+    "repeat_rate": (0.05, 5.0, False),  # at least 0.25, within what the base rule lets pass
     "word_length": (0.25, 8.0, True),
 }
 

@@ -4,7 +4,9 @@ Distinct (host, path) pairs carry their row counts and labels. Level by level, e
 prefix) of the tree counts its children; digits within a segment, and all segments below a node
 with many, mostly rare children, become wildcards. The tree grows until no node that could still
 get a wildcard has a further segment. Templates are the leaves. Labelled urls give
-each template, branch (first segment) and host a rate of bad urls. Branches whose rate does not
+each template, branch (first segment) and host a rate of bad urls. Labels may be all of one kind on
+a host, as those of block rules are; so a url without a label counts as a small part, UNLABELLED, of
+a good one, and templates that no bad url was seen of are told from those that have many. Branches whose rate does not
 differ from their host's by a two-sided test merge into one; the smoothed purity of a template
 shrinks to its branch, the branch to the host, the host to all labelled urls. A template of purity
 REJECT or more is blocked. Rules given as text decide first: the longest that fits wins.
@@ -26,6 +28,7 @@ LEVELS = 3  # of the SQL beside, which equals the tree on paths of so many segme
 MIN_CHILDREN = 8
 RARE_SHARE = 0.3
 MIN_LABELLED = 5
+UNLABELLED = 1 / 16  # what a url without a label counts as a good one
 Z = 1.96
 STRENGTH = 8.0
 REJECT = 0.8
@@ -113,7 +116,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], label: Column | None = None,
     rows = rows.withColumn("rule", text).withColumn("_ruled", verdict)
     if label is None:
         rows = rows.withColumn("_label", F.col("_ruled") == "block")
-    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("_label").alias("labelled"), F.count_if(F.coalesce("_label", F.lit(False))).alias("bad"))
+    labelled = F.count("_label") + UNLABELLED * (F.count("*") - F.count("_label"))
+    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), labelled.alias("labelled"), F.count_if(F.coalesce("_label", F.lit(False))).alias("bad"))
     tree = templates(materialise(paths, "paths"))
     judged = tree.select("host", "path", "branch", "template").join(purities(tree), ["host", "branch", "template"])
     out = rows.join(judged.drop("branch", "merged"), ["host", "path"], "left")

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tessera.llm import bpe, decontam, language_model, line_dedup, near_dups, quality, sharding, substring, toxicity, urls
-from tests.llm.small import corpus, frame, words
+from tests.llm.small import SCHEMA, corpus, frame, prose, words
 
 ROWS = corpus()
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -67,6 +68,39 @@ def test_quality(docs, none):
     assert quality.keep_good(none).count() == 0
 
 
+def test_every_quality_rule_acts_below_the_base_rule(spark):
+    rng = random.Random(8)
+    clean = [(i, "\n".join(f"{prose(rng, 9)} {i}x{k}." for k in range(12))) for i in range(60)]
+    lines = [x for x in clean[0][1].split("\n")]
+    repeated = " ".join(f"own{k}" for k in range(73)) + " " + " ".join(f"r{k}" for k in range(9)) + " x " + " ".join(f"r{k}" for k in range(9)) + " " + " ".join(f"r{k}" for k in range(9))
+    odd = {
+        100: " ".join(f"w{k} ###" for k in range(60)),
+        101: "\n".join(f"{x}" for x in (lines[:6] + [f"l{k % 3}" for k in range(14)])),
+        102: repeated,
+        103: " ".join("abcdefghijklmnopqrstuvwxyzabcdefghijkl" + str(k) for k in range(60)),
+    }
+    rows = [(i, t, "en", "s", None, "x", "k", "t", 7) for i, t in clean + list(odd.items())]
+    got = {r["doc_id"]: r for r in quality.score_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i]["kept"] for i in range(60))
+    assert not any(got[i]["base_failed"] or got[i]["kept"] for i in odd)
+
+
+def test_small_sketches_stay_within_their_rank_error(spark, monkeypatch):
+    # A sketch of k = 64 has a rank error of about 4.2 %: its limits lie between those of near ranks.
+    monkeypatch.setattr(quality, "SKETCH_K", 64)
+    rng = random.Random(9)
+    values = [rng.random() ** 3 for _ in range(20_000)]
+    m = [(i % 2, "s", (False, *[values[i]] * 4)) for i in range(len(values))]
+    names = list(quality.RULES)
+    table = spark.createDataFrame(m, "lang int, source string, m struct<base_failed boolean, " + ", ".join(f"{n} double" for n in names) + ">").repartition(8)
+    for r in quality.limits(table, "m").collect():
+        own = sorted(v for i, v in enumerate(values) if i % 2 == r["lang"])
+        at = lambda q, own=own: own[min(len(own) - 1, max(0, int(q * len(own))))]
+        floor, width, _ = quality.RULES["word_length"]
+        low, high = (at(0.5 - e) + width * max(at(0.75 - e) - at(0.5 + e), floor) for e in (0.06, -0.06))
+        assert low <= r["max_word_length"] <= high
+
+
 def test_sharding(docs, none):
     rows = sharding.shard_documents(docs, 7, 3).collect()
     assert len(rows) == len(ROWS)
@@ -118,8 +152,6 @@ def test_line_common_to_many_texts_keeps_its_first(spark):
 
 
 def test_line_dedup_aligns_all_overlapping_documents(spark):
-    import random
-
     rng = random.Random(3)
     pool = [f"common line number {i} with some words" for i in range(6)] + [f"verse {i}" for i in range(12)] + [f"{i}" for i in range(4)] + [f"four words in {i}" for i in range(3)]
     rows = [(d, "\n".join(x for _ in range(rng.randint(2, 5)) for x in (rng.choice(pool), f"own words of document {d} at {rng.random()}", *rng.choices(pool, k=rng.randint(0, 4))))) for d in range(70)]
@@ -186,8 +218,6 @@ def test_near_duplicates(spark, docs, none):
 
 
 def test_scattered_edits_are_near_duplicates(spark):
-    import random
-
     rng = random.Random(11)
     edited = lambda w, n: [f"new{rng.random()}" if i in set(at) else x for at in [rng.sample(range(len(w)), n)] for i, x in enumerate(w)]
     rows, n = [], 80
@@ -252,6 +282,84 @@ def test_urls_that_differ_in_deep_segments(spark):
     assert got[0]["template"] == "/a/b/c/d/spam/*/p" and got[101]["template"] == "/a/b/c/e/p"
 
 
+def test_block_rules_do_not_decide_a_whole_host(spark):
+    rows = [(i, f"http://a.net/{'es' if i % 3 == 0 else 'en'}/{i}") for i in range(300)] + [(1000 + i, f"http://b.net/es/{i}") for i in range(60)] + [(2000, "http://b.net/x")]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), [("block", "net", "/es/")]).collect()}
+    assert all(got[i] == ("block" if i % 3 == 0 else "allow") for i in range(300))
+    assert got[2000] == "block"  # nearly all of its host is bad
+
+
+def test_candidate_recall_by_edit_similarity():
+    """Of texts with scattered edits (replaced, inserted and deleted words) nine in ten share a sketch
+    down to a similarity of 0.8; short texts have sketches of shorter runs."""
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+
+    def tokens(words):
+        rows = np.zeros(len(words), int)
+        short = near_dups.sketches(words, rows, 1, near_dups.SHORT_SKETCHES, near_dups.SHORT_K)[0].tolist() if len(words) <= near_dups.SHORT_TEXT else []
+        return {*near_dups.sketches(words, rows, 1)[0].tolist(), *short}
+
+    for size in (20, 60, 120, 300):
+        for rate in (0.05, 0.1, 0.15, 0.2):
+            met = 0
+            for _ in range(150):
+                text = rng.integers(0, 5000, size).astype(np.uint64)
+                other = []
+                at = set(rng.choice(size, int(size * rate), replace=False).tolist())
+                for i, x in enumerate(text.tolist()):
+                    kind = rng.integers(3) if i in at else 3
+                    other += {0: [int(rng.integers(10**6, 10**9))], 1: [], 2: [x, int(rng.integers(10**6, 10**9))], 3: [x]}[int(kind)]
+                met += bool(tokens(text) & tokens(np.array(other, np.uint64)))
+            assert met >= 0.9 * 150, (size, rate, met)
+
+
+def test_links_behind_a_common_passage_are_found(spark):
+    # Sixty texts quote one passage, so its sketches have full buckets; thirty of them are near copies of the others.
+    rng = random.Random(14)
+    passage = " ".join(f"p{k}" for k in range(50))
+    own = [[f"o{i}x{k}" for k in range(100)] for i in range(30)]
+    rows = [(i, " ".join(w[:50]) + " " + passage + " " + " ".join(w[50:])) for i, w in enumerate(own)]
+    for i, (_, t) in enumerate(rows[:30]):
+        w = t.split(" ")
+        for k in rng.sample(range(150), 15):
+            w[k] = f"new{i}x{k}"
+        rows.append((100 + i, " ".join(w)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.classify(frame(spark, rows)).collect()}
+    assert all(got[i] == i for i in range(30)) and sum(got[100 + i] == i for i in range(30)) >= 27
+
+
+def test_class_of_a_hub_and_its_variants(spark):
+    # Variants are close to the original and far from each other; more of them than a bucket holds.
+    rng = random.Random(15)
+    base = [f"b{k}" for k in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        w = list(base)
+        for k in rng.sample(range(120), 15):
+            w[k] = f"v{i}x{k}"
+        rows.append((i, " ".join(w)))
+    got = [r["class_id"] for r in near_dups.classify(frame(spark, rows)).collect()]
+    assert sum(c == 0 for c in got) >= 0.97 * len(rows)
+
+
+def test_clashing_columns_and_empty_tables(spark, docs, none):
+    clashing = docs.select("doc_id", "text", "lang", "source", *(F.lit(1).alias(c) for c in ("_id", "_key", "best_id", "key", "row", "node", "label", "n_lines", "gone_lines", "quality", "is_copy")))
+    for stage in (near_dups.keep_one, line_dedup.dedup_lines, quality.keep_good):
+        out = stage(clashing)
+        assert out.columns == clashing.columns and out.count() > 20
+        assert stage(none).count() == 0 and stage(none).columns == none.columns
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
