@@ -37,6 +37,10 @@ PARATEXT = [
 ]
 
 
+# A list whose first entries are links. Three are enough to tell: the third may span the others.
+LINK_LIST = r"<(ul|ol)[^>]*>(?:\s*<li[^>]*>\s*<a[^>]*>[^<]{1,120}</a>.*?</li>\s*){3}</(?:ul|ol)>"
+
+
 def no_tags(text: Column) -> Column:
     return F.regexp_replace(text, "<[^>]+>", "")
 

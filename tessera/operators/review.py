@@ -61,6 +61,45 @@ def gender_clues(docs: DataFrame, verbs: dict[str, str], titles: dict[str, str],
     return docs.select(*(c for c in docs.columns if c != text), F.inline(F.concat(*found)))
 
 
+# Parts of names of models that do not chat.
+NOT_CHAT = [
+    "embed", "embedding", "rerank", "reranking", "whisper", "tts", "speech", "transcrib", "guard", "moderat",
+    "imagen", "veo", "lyria", "aqa", "vision-only", "retrieval", "bert",
+]
+# What the names of a provider's chat models must hold, one of each list, and must not hold.
+PROVIDER_WORDS = {
+    "OPENROUTER": ([["%:free"]], []),
+    "GEMINI": ([["%flash%", "%gemma-4%"]], ["pro", "ultra", "embed"]),
+    "MISTRAL": ([], ["embed"]),
+    "COHERE": ([["%command%"]], ["embed", "rerank"]),
+    "FIREWORKS": ([], ["embedding"]),
+    "TOGETHER": ([], ["embed", "rerank", "moderat"]),
+    "GROQ": ([], ["whisper", "guard", "tts"]),
+    "GITHUB": ([], ["embed", "text-embedding", "evaluation", "azureml://", "/registries/", "/versions/"]),
+}
+
+
+def chats(provider: Column, model: Column) -> Column:
+    """Whether a provider's model is one to talk to, by its name."""
+    name = F.lower(model)
+    out = ~F.exists(F.array(*map(F.lit, NOT_CHAT)), lambda w: F.contains(name, w))
+    for known, (wanted, unwanted) in PROVIDER_WORDS.items():
+        fits = F.lit(True)
+        for either in wanted:
+            fits = fits & F.array_contains(F.array(*(name.like(w) for w in either)), True)
+        for word in unwanted:
+            fits = fits & ~F.contains(name, F.lit(word))
+        out = out & ((F.upper(provider) != known) | fits)
+    return out
+
+
+def living(models: DataFrame, dead: DataFrame) -> DataFrame:
+    """Models that are not dead; all models of a provider of which none is alive. Both: provider, model."""
+    marked = models.join(dead.select("provider", "model", F.lit(True).alias("dead")).distinct(), ["provider", "model"], "left")
+    alive = marked.groupBy("provider").agg(F.count_if(F.col("dead").isNull()).alias("alive"))
+    return marked.join(alive, "provider").where(F.col("dead").isNull() | (F.col("alive") == 0)).drop("dead", "alive")
+
+
 def rest_seconds(code: Column, refusals: Column, retry_after: Column, usual: Column) -> Column:
     """How long a key rests after an answer: a day if it is not paid for or refused twice, else as the
     service asks within bounds, else as usual for it."""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import mining as M
 from tessera.operators import review as V
 from tessera.operators import scoring as S
+from tessera.operators.ordering import first_rows
 from tessera.plans.block_plans import _CANDIDATES, _DECLINED, _NOUNS, _candidates, decline_names
 from tessera.plans.fleet_plans import _CALLS, calls
 from tessera.plans.registry import Registry
@@ -131,3 +132,49 @@ def cooldown_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.when(seq % 5 == 0, 5000).when(seq % 5 == 1, 90).when(seq % 5 == 2, 30).otherwise(0)
     made = made.withColumn("code", F.when(seq % 50 == 7, 402).otherwise(F.col("code"))).withColumn("retry_after", asked).withColumn("usual", F.lit(45))
     return V.key_states(made, 2.0)
+
+
+_NAMES = ["Flash-8b", "pro-flash", "gemma-4-it", "command-r", "text-embedding-3", "llama:free", "whisper-large", "mixtral", "x/registries/y", "guard-2"]
+_PROVIDERS = [*V.PROVIDER_WORDS, "OTHER"]
+_MODELS_OF = f"""md AS (SELECT DISTINCT [{", ".join(f"'{p}'" for p in _PROVIDERS)}][event_id % {len(_PROVIDERS)} + 1] AS provider,
+  [{", ".join(f"'{n}'" for n in _NAMES)}][(event_id // 10) % {len(_NAMES)} + 1] AS model, user_id % 3 = 0 AS failed FROM events),
+mo AS (SELECT provider, model, bool_or(failed) AS failed FROM md GROUP BY ALL)"""
+
+
+def _chat_sql() -> str:
+    tests = ["NOT (" + " OR ".join(f"contains(lower(model), '{w}')" for w in V.NOT_CHAT) + ")"]
+    for provider, (wanted, unwanted) in V.PROVIDER_WORDS.items():
+        fits = ["(" + " OR ".join(f"lower(model) LIKE '{w}'" for w in either) + ")" for either in wanted]
+        fits += [f"NOT contains(lower(model), '{w}')" for w in unwanted]
+        tests.append(f"(provider <> '{provider}' OR ({' AND '.join(fits)}))")
+    return " AND ".join(tests)
+
+
+def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda values, place: F.element_at(F.array(*map(F.lit, values)), (place + 1).cast("int"))
+    events = table(spark, sf_dir, "events")
+    provider, model = at(_PROVIDERS, F.col("event_id") % len(_PROVIDERS)), at(_NAMES, F.floor(F.col("event_id") / 10) % len(_NAMES))
+    return events.groupBy(provider.alias("provider"), model.alias("model")).agg(F.bool_or(F.col("user_id") % 3 == 0).alias("failed"))
+
+
+@R.add(f"WITH {_MODELS_OF} SELECT provider, model FROM mo WHERE {_chat_sql()}")
+def model_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _models(spark, sf_dir).where(V.chats(F.col("provider"), F.col("model"))).select("provider", "model")
+
+
+@R.add(f"WITH {_MODELS_OF}, d AS (SELECT *, provider < 'H' OR length(model) % 2 = 0 AS dead FROM mo), a AS (SELECT *, count(*) FILTER (NOT dead) OVER (PARTITION BY provider) AS alive FROM d) SELECT provider, model FROM a WHERE NOT dead OR alive = 0")
+def living_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = _models(spark, sf_dir).select("provider", "model")
+    return V.living(models, models.where((F.col("provider") < "H") | (F.length("model") % 2 == 0)))
+
+
+@R.add(f"""{_CALLS}, {_MODELS_OF}, k AS (SELECT DISTINCT upper(provider) AS p, key, code FROM calls),
+f AS (SELECT key, bool_or(code = 401) AS refused FROM k GROUP BY key), c AS (SELECT provider, model, row_number() OVER (PARTITION BY provider ORDER BY length(model), model) AS place FROM mo WHERE {_chat_sql()})
+SELECT c.provider, model, key, place::INT AS place FROM c JOIN f ON NOT refused OR key % 2 = 0 WHERE place <= 2 AND key % {len(_PROVIDERS)} = list_position([{", ".join(f"'{p}'" for p in _PROVIDERS)}], c.provider) - 1""")
+def route_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each provider, its two best chat models with every key of it that can be used."""
+    keys = calls(table(spark, sf_dir, "events")).groupBy("key").agg(F.bool_or(F.col("code") == 401).alias("refused")).where("NOT refused OR key % 2 = 0")
+    owner = F.element_at(F.array(*map(F.lit, _PROVIDERS)), (F.col("key") % len(_PROVIDERS) + 1).cast("int"))
+    ranked = first_rows(model_filter(spark, sf_dir).withColumn("n", F.length("model")), ["provider"], ["n", "model"], 2)
+    placed = ranked.withColumn("place", F.row_number().over(Window.partitionBy("provider").orderBy("n", "model")))  # two rows each
+    return placed.join(keys.select("key", owner.alias("provider")), "provider").select("provider", "model", "key", "place")

@@ -145,12 +145,12 @@ def qa_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reported(spark, sf_dir)
 
 
-_QA = "count(*) AS n, round(avg(greatest(0.0, 10.0 - (e * 2.0 + c * 1.5 + t * .5 + g * 3.0))), 2)::DOUBLE AS avg_score, count(*) FILTER (e + c + t + g = 0) AS n_clean, round(100 * count(*) FILTER (e > 0) / count(*), 1) AS pct_ekavian, round(100 * count(*) FILTER (t > 0) / count(*), 1) AS pct_typography"
+_QA = "count(*) AS n, round(avg(greatest(0.0, 10.0 - (e * 2.0 + c * 1.5 + t * .5 + g * 3.0))), 2)::DOUBLE AS avg_score, count(*) FILTER (e + c + t + g = 0) AS n_clean, round(100 * count(*) FILTER (e > 0) / count(*), 1) AS pct_ekavian, round(100 * count(*) FILTER (t > 0) / count(*), 1) AS pct_typography, round(100 * count(*) FILTER (c > 0) / count(*), 1) AS pct_calques, round(100 * count(*) FILTER (g > 0) / count(*), 1) AS pct_english"
 
 
 def _qa(rows: DataFrame) -> list:
     share = lambda c: F.round(100 * F.count_if(F.col(c) > 0) / F.count("*"), 1)
-    return [F.count("*").alias("n"), F.round(F.avg("report_score"), 2).alias("avg_score"), F.count_if(F.col("n_findings") == 0).alias("n_clean"), share("n_ekavian").alias("pct_ekavian"), share("n_typography").alias("pct_typography")]
+    return [F.count("*").alias("n"), F.round(F.avg("report_score"), 2).alias("avg_score"), F.count_if(F.col("n_findings") == 0).alias("n_clean"), share("n_ekavian").alias("pct_ekavian"), share("n_typography").alias("pct_typography"), share("n_calques").alias("pct_calques"), share("n_english").alias("pct_english")]
 
 
 @R.add(f"WITH reported AS ({_PLANTED}), r AS ({_REPORT}) SELECT {_QA} FROM r")

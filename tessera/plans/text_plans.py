@@ -237,13 +237,17 @@ _MATTER = " OR ".join(f"contains(lower(p), '{w}')" for w in T.PARATEXT)
 @R.add(rf"""
 WITH t AS (SELECT page_id, html, {_HTML.format(_BARE)} AS p FROM pages)
 SELECT page_id, p = '' OR regexp_matches(html, '(?i)^\s*<(img|figure|svg)') OR {_MATTER}
+  OR (regexp_matches(html, '(?i)<img') AND length(trim(regexp_replace(html, '<[^>]+>', '', 'g'), chr(32) || chr(9) || chr(10) || chr(13))) < 10)
+  OR regexp_matches(html, '(?is){T.LINK_LIST}')
   OR (len({_WORDS.format("p")}) < 55 AND NOT regexp_matches(p, '(?s)[a-zA-Zšđžčć]{{4,}}.*[.,!?;]')) AS nonprose FROM t""")
 def nonprose(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "html", T.visible_text(F.col("html")).alias("p"))
     matter = F.exists(F.array(*map(F.lit, T.PARATEXT)), lambda w: F.lower("p").contains(w))
     short = (T.word_count(F.col("p")) < 55) & ~F.col("p").rlike("(?s)[a-zA-Zšđžčć]{4,}.*[.,!?;]")
     picture = F.col("html").rlike(r"(?i)^\s*<(img|figure|svg)")
-    return pages.select("page_id", ((F.col("p") == "") | picture | matter | short).alias("nonprose"))
+    alone = F.col("html").rlike("(?i)<img") & (F.length(F.btrim(T.no_tags(F.col("html")), F.lit(" \t\n\r"))) < 10)
+    links = F.col("html").rlike("(?is)" + T.LINK_LIST)
+    return pages.select("page_id", ((F.col("p") == "") | picture | matter | alone | links | short).alias("nonprose"))
 
 
 _CYR = ["Dоbar dan svima ovdje i tamo", "Добар дан", "latinica", "Љубав њива џак"]
