@@ -8,7 +8,8 @@ is after a few steps. State, class and the next class then tell whether a token
 pieces between starts go through a cache to pair merging by rank.
 
 Null texts count as empty and give no tokens. Any text is taken whole; a piece of n bytes costs
-n log n, so one long run of letters is no trap.
+n log n, so one long run of letters is no trap. Every row is coded for itself, repeated ones alike;
+an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

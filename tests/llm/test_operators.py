@@ -120,6 +120,12 @@ def test_bpe_round_trip(docs, none):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = bpe.token_digests(docs, ranks).collect()
     _same([(r["doc_id"], r["decoded_sha256"]) for r in rows], [(d, hashlib.sha256((t or "").encode()).hexdigest()) for d, t in ROWS])
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    coder = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(ranks), special_tokens={})
+    ids = {d: coder.encode_ordinary(t or "") for d, t in ROWS}
+    _same([(r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in rows], [(d, len(ids[d]), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids[d])).hexdigest()) for d, _ in ROWS])
     full = bpe.encode_documents(docs.where("doc_id = 3"), ranks).head()
     assert int.from_bytes(full["ends"][-8:], "little") == len(full["text"].encode())
     assert bpe.token_digests(none, ranks).count() == 0
