@@ -139,6 +139,34 @@ def test_toxicity(spark, docs, none):
     assert toxicity.detect(none, labels).count() == 0
 
 
+def test_toxicity_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.detect(docs, labels).where("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
+    hit, said, true = (sum(bool(f(r)) for r in rows) for f in (lambda r: r["toxic"] and r["predicted"], lambda r: r["predicted"], lambda r: r["toxic"]))
+    assert hit >= 0.8 * said and hit >= 0.5 * true > 0, (hit, said, true, len(rows))
+
+
+def test_language_model_predicts_held_out_words(spark):
+    # Texts of a chain of words: the next word follows from the one before, so context must help.
+    rng = random.Random(21)
+    after = {i: [rng.randrange(200) for _ in range(3)] for i in range(200)}
+
+    def chain():
+        w, out = rng.randrange(200), []
+        for _ in range(80):
+            out.append(f"w{w}")
+            w = rng.choice(after[w])
+        return " ".join(out)
+
+    got = language_model.score_documents(frame(spark, [(i, chain()) for i in range(400)])).where("held_out").collect()
+    assert len(got) > 20
+    per_token = [r["score"] / r["n_tokens"] for r in got]
+    base = [r["base_score"] / r["n_tokens"] for r in got]
+    # Three choices a word are log10(3) = 0.48 apart from certainty; words alone, log10(200) = 2.3.
+    assert -0.75 < sum(per_token) / len(got) < -0.45 and sum(base) / len(got) < -2
+
+
 def test_line_dedup(spark, docs, none):
     line = "this line has six good words"
     block = "first shared line of the block\nsecond shared line of the block"
