@@ -34,7 +34,7 @@ def upsert(old: DataFrame, seen: DataFrame) -> DataFrame:
     both = old.unionByName(seen)
     return both.groupBy("pattern", "kind").agg(
         F.sum("n").alias("n"), F.sum("score_sum").alias("score_sum"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("books")))).alias("books"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("books")))).alias("books"),  # a set: distinct before the shuffle
         F.max_by("context", "seq").alias("context"), F.max("seq").alias("seq"),
     )
 

@@ -98,7 +98,7 @@ def aggressive_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", P.cleaned(raw).alias("text"))
 
 
-@R.add(None)
+@R.add(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([a-zčćšžđ])([A-ZČĆŠŽĐ])', '\1 \2', 'g'), '(^|[^\p{L}\p{N}_])([A-ZČĆŠŽĐ])\s+([a-zčćšžđ]{2,})', '\1\2\3', 'g'), '[^\S\n]{2,}', ' ', 'g') AS text FROM documents""")
 def joined_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", P.joined_words(F.col("text")).alias("text"))
 

@@ -253,7 +253,13 @@ def nonprose(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CYR = ["Dоbar dan svima ovdje i tamo", "Добар дан", "latinica", "Љубав њива џак"]
 
 
-@R.add(None)
+_LETTERS = "translate(text, 'абвгдђежзијклмнопрстћуфхцчшАБВГДЂЕЖЗИЈКЛМНОПРСТЋУФХЦЧШ', 'abvgdđežzijklmnoprstćufhcčšABVGDĐEŽZIJKLMNOPRSTĆUFHCČŠ')"
+for _c, _l in (("љ", "lj"), ("њ", "nj"), ("џ", "dž"), ("Љ", "Lj"), ("Њ", "Nj"), ("Џ", "Dž")):
+    _LETTERS = f"replace({_LETTERS}, '{_c}', '{_l}')"
+
+
+@R.add(f"""WITH r AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(_CYR))}) AS v(i, text) UNION ALL SELECT doc_id + 100, text FROM documents)
+SELECT i::BIGINT AS i, CASE WHEN len(regexp_extract_all(text, '[Ѐ-ӿ]')) / greatest(length(text), 1) <= .1 THEN {_LETTERS} ELSE text END AS text FROM r""")
 def homoglyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(list(enumerate(_CYR)), "i long, text string")
     docs = table(spark, sf_dir, "documents").select((F.col("doc_id") + 100).alias("i"), "text")

@@ -79,3 +79,12 @@ def test_block_type(spark):
     assert _one(spark, "<p>a</p><br><br/><br />", T.block_type) == "poetski"
     assert _one(spark, "— Da.\n— Ne.", T.block_type) == "dijalog"
     assert re.match("opis|naracija", _one(spark, "x" * 130 + ".", T.block_type))
+
+
+def test_duplicate_heading_goes(spark, tmp_path):
+    from tessera.plans import catalog
+
+    rows = [(1, "A heading\nand text"), (2, "ab\nshort lines stay doubled"), (3, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in catalog.QUERIES["duplicate_heading"](spark, str(tmp_path)).collect()}
+    assert got[1] == "A heading\nand text" and got[2] == "ab\nab\nshort lines stay doubled"
