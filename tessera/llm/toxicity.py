@@ -9,12 +9,15 @@ unlabelled texts, which are a mix of both kinds, with the risk estimator
 
 where the class prior is the share of toxic among the labelled training rows. When the second term
 is negative, the step goes the other way (the non-negative correction). The logistic loss and Adam
-are plain numpy on the driver, over a bounded sample: at most MAX_POSITIVE and MAX_UNLABELLED
-texts, those of least id hash. Everything is scored.
+are plain numpy on the driver, over a bounded sample: at most MAX_POSITIVE positive texts and
+MAX_UNLABELLED of all training rows, those of least id hash; one text per id, and of texts with more
+than MAX_FEATURES words those of least hash. That is 4 bytes a word, 262 MB at most. Everything is
+scored, by all words.
 
 Labels come from training rows only; lang, source and doc_id are no features. Null and empty texts
 have no words and get the score of the intercept. Repeated rows get equal scores. With no positive
-labels at all, the weights stay zero and the scores equal the intercept's.
+labels at all, the weights stay zero and the scores equal the intercept's. An empty table gives no
+rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._bytes import blocks, string_parts, word_hashes, word_spans
+from tessera.llm._bytes import blocks, mix, string_parts, word_hashes, word_spans
 from tessera.llm._spark import fold, text_of
 
 BITS = 18
 MAX_POSITIVE = 4000
 MAX_UNLABELLED = 12000
+MAX_FEATURES = 4096
 MIN_GAIN = 10.0
 FOLDS, HELD_OUT = 4, 2
 _CUT = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
@@ -116,7 +120,12 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 
 
 def _collect(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
-    """Feature sets of the documents with the given ids, at most a bounded number."""
+    """Feature sets of one document for each of the given ids, of at most MAX_FEATURES words each."""
+
+    def some(words: np.ndarray) -> bytes:
+        if len(words) > MAX_FEATURES:
+            words = np.sort(words[np.argsort(mix(words.astype(np.uint64), 3), kind="stable")[:MAX_FEATURES]])
+        return words.astype("<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,13 +133,12 @@ def _collect(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
             for a, b in blocks(offsets):
                 rows, words = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 cuts = np.searchsorted(rows, np.arange(b - a + 1))
-                words = words.astype("<u4")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array([words[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["doc_id", "words"]
+                    [batch.column("doc_id").slice(a, b - a), pa.array([some(words[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["doc_id", "words"]
                 )
 
     wanted = text_of(docs).join(F.broadcast(ids), "doc_id", "left_semi")  # the ids are a bounded sample
-    got = wanted.mapInArrow(run, "doc_id long, words binary").collect()
+    got = wanted.mapInArrow(run, "doc_id long, words binary").groupBy("doc_id").agg(F.min("words").alias("words")).collect()
     return [np.frombuffer(r["words"], dtype="<u4").astype(np.int64) for r in sorted(got, key=lambda r: r["doc_id"])]
 
 
