@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import urls
+from tessera.llm import embeddings, merkle, trie, urls
 from tessera.llm.quality import MIN_GROUP, RULES
 
+MERKLE_LEVELS = 7  # enough for two million rows a language
+
 _MEASURES = r"""
 d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (
@@ -115,6 +117,92 @@ FROM r JOIN tree ON r.host = tree.host AND r.path = tree.path
 JOIN pure ON tree.host = pure.host AND tree.template = pure.template AND tree.branch = pure.branch"""
 
 
-def oracles(rules: list[urls.Rule]) -> dict[str, str]:
-    return {"op2_quality_rules": _quality(), "op10_url_templates": _urls(rules)}
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    bit = "xor(t >> 1, CASE WHEN t & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    byte = f"list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: 0::BIGINT)), lambda t, z: {bit})"
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, b: {byte}), 4294967295)"
+
+
+def _vectors() -> str:
+    return f"""WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS n, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+),
+good AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+near AS (SELECT a.n AS a, b.n AS b FROM good a JOIN good b ON a.n <> b.n AND list_cosine_similarity(a.e, b.e) >= {embeddings.SIMILARITY}),
+reach AS (SELECT n AS a, n AS b FROM v UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a),
+part AS (SELECT reach.a AS n, min(v.vec_id) AS component_id FROM reach JOIN v ON reach.b = v.n GROUP BY reach.a)
+SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN part USING (n) LEFT JOIN (SELECT a AS n, count(*) AS links FROM near GROUP BY a) USING (n)"""
+
+
+def _tree(name: str, nodes: str) -> str:
+    """Levels {name}s0, {name}s1, ... of the tree over nodes (grp, idx, digest), and the next nodes."""
+    steps, last = [], nodes
+    for k in range(MERKLE_LEVELS):
+        window = f"OVER (PARTITION BY grp, idx // {merkle.FAN} ORDER BY idx ROWS BETWEEN"
+        steps.append(f"""
+{name}s{k} AS (SELECT grp, idx, digest, count(*) OVER (PARTITION BY grp) AS size,
+         coalesce(string_agg(digest, '') {window} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pre,
+         coalesce(string_agg(digest, '') {window} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS post FROM {last}),
+{name}n{k + 1} AS (SELECT grp, idx // {merkle.FAN} AS idx, CASE WHEN max(size) = 1 THEN max(digest) ELSE sha256(string_agg(digest, '' ORDER BY idx)) END AS digest
+         FROM {name}s{k} GROUP BY grp, idx // {merkle.FAN}),""")
+        last = f"{name}n{k + 1}"
+    return "".join(steps)
+
 
+def _climbed(name: str, start: str) -> str:
+    """Each row of start (grp, place, proof, fold) climbs the tree."""
+    out, width = start, 1
+    for k in range(MERKLE_LEVELS):
+        out = f"""(SELECT x.* REPLACE (x.proof || s.pre || s.post AS proof, CASE WHEN s.size = 1 THEN x.fold ELSE sha256(s.pre || x.fold || s.post) END AS fold)
+          FROM {out} x JOIN {name}s{k} s ON x.grp IS NOT DISTINCT FROM s.grp AND x.place // {width} = s.idx)"""
+        width *= merkle.FAN
+    return out
+
+
+def _merkle() -> str:
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in (*merkle.FIELDS[:-1], text)) + ")"
+    return f"""WITH d AS (
+  SELECT doc_id, lang AS grp, {leaf("text")} AS digest,
+         CASE WHEN coalesce({_crc32("doc_id::VARCHAR")}, 0) % {merkle.TAMPERED} = 0 THEN {leaf(low)} ELSE {leaf("text")} END AS start
+  FROM documents
+),
+l AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, digest) - 1 AS idx FROM d),{_tree("a", "l")}
+u AS (SELECT 0 AS grp, grp AS lang, row_number() OVER (ORDER BY encode(grp) NULLS FIRST) - 1 AS idx, digest FROM an{MERKLE_LEVELS}),{_tree("b", "u")}
+x AS (SELECT doc_id, digest AS leaf, grp AS lang, grp, idx AS place, '' AS proof, start AS fold FROM l),
+y AS {_climbed("a", "x")},
+z AS (SELECT y.* REPLACE (0 AS grp, u.idx AS place), u.digest AS subroot FROM y JOIN u ON y.lang IS NOT DISTINCT FROM u.lang)
+SELECT doc_id, leaf, subroot, r.digest AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = r.digest AS verified
+FROM {_climbed("b", "z")} q CROSS JOIN bn{MERKLE_LEVELS} r"""
+
+
+def _trie() -> str:
+    return f"""WITH c AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS own,
+         {_crc32("conv_id::VARCHAR")} % {trie.HEADS} AS h
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.own[:c.h], []), c.own[c.h + 1:]) AS turns
+      FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - ((c.conv_id % {trie.GROUP}) + {trie.GROUP}) % {trie.GROUP}),
+m AS (SELECT conv_id, len(turns) AS n, d AS depth, turns[:d] AS prefix FROM r, LATERAL (SELECT unnest(range(0, len(turns) + 1)) AS d)),
+v AS (SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+      FROM m GROUP BY prefix, depth),
+k AS (SELECT prefix[:depth - 1] AS up, depth - 1 AS d, count(*) AS n FROM v WHERE depth > 0 GROUP BY ALL),
+w AS (SELECT v.*, coalesce(k.n, 0) AS n_children, (n_convs - 1) * coalesce(strlen(prefix[-1].text), 0) AS repeated
+      FROM v LEFT JOIN k ON v.prefix = k.up AND v.depth = k.d),
+s AS (SELECT a AS depth, prefix[:a] AS prefix, sum(repeated) AS saved, count(*) FILTER (n_children = 0) AS leaves
+      FROM w, LATERAL (SELECT unnest(range(0, w.depth + 1)) AS a) GROUP BY ALL)
+SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, w.ends_sha256
+FROM w JOIN s ON w.prefix = s.prefix AND w.depth = s.depth LEFT JOIN v p ON p.depth = w.depth - 1 AND p.prefix = w.prefix[:w.depth - 1]"""
+
+
+def oracles(rules: list[urls.Rule]) -> dict[str, str]:
+    return {
+        "op2_quality_rules": _quality(), "op10_url_templates": _urls(rules),
+        "op11_subspace_join": _vectors(), "op12_merkle_manifest": _merkle(), "op13_prefix_trie": _trie(),
+    }

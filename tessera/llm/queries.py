@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, language_model, line_dedup, near_dups, quality, sharding, substring, toxicity, urls
+from tessera.llm import bpe, decontam, embeddings, language_model, line_dedup, merkle, near_dups, quality, sharding, substring, toxicity, trie, urls
 from tessera.llm.oracles import oracles
 
 URL_RULES = [
@@ -72,6 +72,18 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_quality_rules": op2_quality_rules,
@@ -83,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_order_minhash": op8_order_minhash,
     "op9_super_kmer_dedup": op9_super_kmer_dedup,
     "op10_url_templates": op10_url_templates,
+    "op11_subspace_join": op11_subspace_join,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = oracles(URL_RULES)
