@@ -41,13 +41,15 @@ from tessera.llm.components import components
 
 SIMILARITY = 0.9
 BLOCKS = 4
-CELL = 4096
-CHUNK = 2048
+CELL = 8192
+CHUNK = 8192
 MAX_BITS = 12  # cells of a block: 4096 at most; beyond, cells have more chunks
 RADIUS = 0.2
 _LINK = float(np.sqrt(2 - 2 * SIMILARITY))
 _SLACK = 1e-9
+_ROUGH = 2e-5  # more than single precision errs in a squared distance
 _SLICE = 512
+_PAIRS = 1 << 16
 _NODE = "node long, weight long, radius double, unit binary"
 assert 2 * RADIUS < _LINK, "members of one ball must be linked"
 
@@ -149,6 +151,34 @@ def _balls(nodes: DataFrame, means: np.ndarray, d: int) -> tuple[DataFrame, Data
 # Comparing
 
 
+class _Side:
+    """Nodes to be compared: ids, weights, radii and units, and their single nodes and balls apart."""
+
+    def __init__(self, ids: np.ndarray, weights: np.ndarray, radii: np.ndarray, unit: np.ndarray):
+        self.ids, self.weights, self.radii, self.unit = ids, weights, radii, unit
+        self.parts = [x for x in (np.flatnonzero(radii == 0), np.flatnonzero(radii > 0)) if len(x)]
+
+
+def _near(x: _Side, y: _Side, block: int, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs that may be within the block's share of their budget, and of some more; of
+    all pairs that may be linked if there is no block. In single precision: the sum of products of two vectors, each
+    with half its square, is minus half their squared distance."""
+    found = []
+    for i in x.parts:
+        for j in y.parts:
+            if block < 0:
+                hits = np.nonzero(x.unit[i] @ y.unit[j].T >= SIMILARITY - _SLACK)
+            else:
+                a, b = spans(d)[block]
+                limit = (_LINK + x.radii[i].max() + y.radii[j].max()) ** 2 * ((b - a) / d) + _ROUGH
+                u, v = x.unit[i, a:b], y.unit[j, a:b]
+                left = np.column_stack([u, -0.5 * (u * u).sum(axis=1), np.ones(len(u))]).astype(np.float32)
+                right = np.column_stack([v, np.ones(len(v)), -0.5 * (v * v).sum(axis=1)]).astype(np.float32)
+                hits = np.nonzero(left @ right.T >= np.float32(-limit / 2))
+            found.append((i[hits[0]], j[hits[1]]))
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
+
+
 class _Bucket:
     """A chunk of stored nodes and what has been found of them."""
 
@@ -161,12 +191,13 @@ class _Bucket:
     def start(self) -> list[tuple[int, int, int]]:
         """Compares the stored nodes with each other, if they are of one block."""
         table = pa.Table.from_batches(self.parts)
-        self.ids, self.weights, self.radii, self.units = _columns(table.combine_chunks(), self.d)
+        self.own = _Side(*_columns(table.combine_chunks(), self.d))
+        self.ids = self.own.ids
         self.sums, self.roots, self.ready, out = np.zeros(len(self.ids), np.int64), list(range(len(self.ids))), True, []
         if self.block >= 0:
             for i in range(0, len(self.ids), _SLICE):
-                to = min(i + _SLICE, len(self.ids))
-                out += self.compare(self.ids[i:to], self.weights[i:to], self.radii[i:to], self.units[i:to], i)
+                cut = slice(i, i + _SLICE)
+                out += self.compare(_Side(self.ids[cut], self.own.weights[cut], self.own.radii[cut], self.own.unit[cut]), i)
         return out
 
     def find(self, i: int) -> int:
@@ -175,45 +206,49 @@ class _Bucket:
             i = self.roots[i]
         return i
 
-    def compare(self, ids: np.ndarray, weights: np.ndarray, radii: np.ndarray, unit: np.ndarray, own: int | None = None) -> list[tuple[int, int, int]]:
+    def compare(self, probes: _Side, first: int | None = None) -> list[tuple[int, int, int]]:
         """Findings (kind, a, b): 0: b rows are linked to node a; 1: a and b are linked; 2: undecided.
-        own: place of the first probe if the probes are stored nodes; those meet later ones only."""
-        cosines = unit @ self.units.T
-        wide = radii[:, None] + self.radii[None, :]
-        open_ = np.ones(cosines.shape, bool)
-        if own is not None:
-            open_ = np.arange(len(self.ids))[None, :] > np.arange(own, own + len(ids))[:, None]
-        for k, (a, b) in enumerate(spans(self.d)[: self.block + 1]):
-            x, y = unit[:, a:b], self.units[:, a:b]
-            squares = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T)
-            limit = (wide + _LINK) ** 2 * ((b - a) / self.d) + _SLACK
-            inside = squares <= limit
-            for i, j in np.argwhere(np.abs(squares - limit) < _SLACK / 10).tolist():  # alike in every block's task
-                far = x[i] - y[j]
-                inside[i, j] = (far * far).sum() <= limit[i, j]
-            open_ &= inside if k == self.block else ~inside
-        single = wide == 0
+        first: place of the first probe if the probes are stored nodes; those meet later ones only."""
+        rows, columns = _near(probes, self.own, self.block, self.d)
+        if first is not None:
+            later = columns > rows + first
+            rows, columns = rows[later], columns[later]
+        out: list[tuple[int, int, int]] = []
+        for k in range(0, len(rows), _PAIRS):
+            out += self.judge(probes, rows[k : k + _PAIRS], columns[k : k + _PAIRS], first)
+        return out
+
+    def judge(self, probes: _Side, rows: np.ndarray, columns: np.ndarray, first: int | None) -> list[tuple[int, int, int]]:
+        """Exact, and alike in every block's task: the pair counts in the first block that finds it."""
+        x, y = probes.unit[rows], self.own.unit[columns]
+        wide = probes.radii[rows] + self.own.radii[columns]
+        if self.block >= 0:
+            far = x - y
+            cuts = spans(self.d)
+            squares = np.add.reduceat(far * far, [a for a, _ in cuts], axis=1)
+            inside = squares <= ((wide + _LINK) ** 2)[:, None] * (np.array([b - a for a, b in cuts]) / self.d) + _SLACK
+            counts = inside[:, self.block] & ~inside[:, : self.block].any(axis=1)
+        else:
+            counts = np.ones(len(rows), bool)
+        cosines = (x * y).sum(axis=1)
         distance = np.sqrt(np.maximum(2 - 2 * cosines, 0))
-        linked = open_ & np.where(single, cosines >= SIMILARITY, distance + wide <= _LINK - _SLACK)
-        unsure = open_ & ~linked & ~single & (distance - wide <= _LINK + _SLACK)
-        out = [(2, int(ids[i]), int(self.ids[j])) for i, j in np.argwhere(unsure).tolist()]
-        if not linked.any():
+        linked = counts & np.where(wide == 0, cosines >= SIMILARITY, distance + wide <= _LINK - _SLACK)
+        unsure = counts & ~linked & (wide > 0) & (distance - wide <= _LINK + _SLACK)
+        out = [(2, a, b) for a, b in zip(probes.ids[rows[unsure]].tolist(), self.ids[columns[unsure]].tolist(), strict=True)]
+        rows, columns = rows[linked], columns[linked]
+        if not len(rows):
             return out
-        self.sums += weights @ linked
-        found = linked @ self.weights
-        hit = np.flatnonzero(found)
-        if own is not None:
-            self.sums[own + hit] += found[hit]
-        else:
-            out += [(0, a, n) for a, n in zip(ids[hit].tolist(), found[hit].tolist(), strict=True)]
-        first = linked.argmax(axis=1)
-        if own is not None:
-            pairs = np.argwhere(linked)
-            pairs[:, 0] += own
+        add = lambda at, weights, n: np.bincount(at, weights, n).astype(np.int64)  # noqa: E731  exact below 2**53
+        self.sums += add(columns, probes.weights[rows], len(self.ids))
+        found = add(rows, self.own.weights[columns], len(probes.ids))
+        if first is not None:
+            self.sums[first : first + len(found)] += found
+            pairs = np.stack([rows + first, columns], axis=1)
         else:
-            out += [(1, a, b) for a, b in zip(ids[hit].tolist(), self.ids[first[hit]].tolist(), strict=True)]
-            i, j = np.nonzero(linked[hit])
-            pairs = np.stack([first[hit][i], j], axis=1)
+            hit, at = np.unique(rows, return_index=True)
+            out += [(0, a, n) for a, n in zip(probes.ids[hit].tolist(), found[hit].tolist(), strict=True)]
+            out += [(1, a, b) for a, b in zip(probes.ids[hit].tolist(), self.ids[columns[at]].tolist(), strict=True)]
+            pairs = np.stack([columns[at][np.searchsorted(hit, rows)], columns], axis=1)
         for i, j in np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0).tolist():
             i, j = self.find(i), self.find(j)
             self.roots[max(i, j)] = min(i, j)
@@ -256,7 +291,7 @@ def _compared(rows: DataFrame, d: int) -> DataFrame:
                     if not bucket.ready:
                         out += bucket.start()
                     for i in range(0, part.num_rows, _SLICE):
-                        out += bucket.compare(*_columns(part.slice(i, _SLICE), d))
+                        out += bucket.compare(_Side(*_columns(part.slice(i, _SLICE), d)))
                 else:
                     key, bucket = now, None
             if out:
