@@ -20,6 +20,12 @@ DIACRITICS = "čćšžđČĆŠŽĐ"
 # Length bounds of a rewrite, relative to its original, by role.
 LENGTH_BOUNDS = {"LEKTOR": (0.92, 1.12), "RETRO": (0.75, 1.35), "PREVODILAC": (0.70, 1.50)}
 
+# Parts of the names of files that are front or back matter, and what these score.
+PARATEXT_FILES = [
+    "halftitle", "title", "otherbyauthor", "alsoby", "seriespage", "copyright", "dedication", "contents", "toc", "colophon",
+    "frontmatter", "backmatter", "epigraph", "acknowledgment", "aboutauthor", "cover", "insert",
+]
+PARATEXT_SCORE = 8.5
 # Phrases of front and back matter.
 PARATEXT = [
     "copyright", "isbn", "cip -", "katalogizacija", "cataloguing",
@@ -278,3 +284,9 @@ def holds(text: Column, pattern: str) -> Column:
     found = text.rlike("(?U)" + pattern)
     literal = max(_SPECIAL.split(pattern), key=len) if pattern.startswith(r"\b") else ""
     return text.contains(literal) & found if literal else found
+
+
+def paratext_file(name: Column) -> Column:
+    """Whether a file is front or back matter, by its name."""
+    plain = F.replace(F.replace(F.lower(name), F.lit("_"), F.lit("")), F.lit("-"), F.lit(""))
+    return F.exists(F.array(*map(F.lit, PARATEXT_FILES)), lambda w: plain.contains(w))

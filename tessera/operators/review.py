@@ -1,12 +1,10 @@
-"""Rules with counts and protected terms, gender clues, characters, and states of service keys."""
+"""Rules with counts and protected terms, gender clues, characters, and models that chat."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.fleet import _micros
-
 # A word with what tells the start of a sentence: an end mark and white space, or a line break.
 TOKEN = r"([.!?]\s|\n)?[\p{L}\p{N}_]+"
 CHARACTER = "^[A-ZČĆŠĐŽА-Я][a-zčćšđžа-я]{2,}$"
@@ -17,8 +15,6 @@ NOT_NAMES = [
     "jedan", "jedna", "jedne", "ovdje", "tamo", "gdje",
 ]
 NAME = r"[A-ZČĆŠĐŽА-Я][a-zA-ZčćšđžА-Я\-]{1,24}"
-# Seconds that a key rests, by answer.
-REST_REFUSED, REST_UNPAID, LONGEST_DAILY, LONGEST_HOURS, LONGEST_MINUTE = 300, 86400, 90000, 86400, 120
 
 
 def characters(docs: DataFrame, keys: list[str], text: str = "text", least: int = 3) -> DataFrame:
@@ -98,27 +94,3 @@ def living(models: DataFrame, dead: DataFrame) -> DataFrame:
     marked = models.join(dead.select("provider", "model", F.lit(True).alias("dead")).distinct(), ["provider", "model"], "left")
     alive = marked.groupBy("provider").agg(F.count_if(F.col("dead").isNull()).alias("alive"))
     return marked.join(alive, "provider").where(F.col("dead").isNull() | (F.col("alive") == 0)).drop("dead", "alive")
-
-
-def rest_seconds(code: Column, refusals: Column, retry_after: Column, usual: Column) -> Column:
-    """How long a key rests after an answer: a day if it is not paid for or refused twice, else as the
-    service asks within bounds, else as usual for it."""
-    asked = F.when(retry_after > 3600, F.least(retry_after, F.lit(LONGEST_DAILY))).when(retry_after > 60, F.least(retry_after, F.lit(LONGEST_HOURS)))
-    asked = asked.when(retry_after > 0, F.least(retry_after, F.lit(LONGEST_MINUTE))).otherwise(usual)
-    refused = F.when((code == 402) | (refusals >= 2), REST_UNPAID).otherwise(REST_REFUSED)
-    return F.when(code.isin(401, 402, 403), refused).when(code == 429, asked).otherwise(0)
-
-
-def key_states(calls: DataFrame, min_gap: float) -> DataFrame:
-    """Per call: the end of the longest rest its key was ordered so far, this call included, and
-    whether the key was free when the call was made: rested, and min_gap seconds after the call before.
-
-    calls: provider, key, ts, seq, code, retry_after, usual. One window over the calls of a key."""
-    w = Window.partitionBy("provider", "key").orderBy("ts", "seq")
-    so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    micros = _micros(F.col("ts"))
-    rest = rest_seconds(F.col("code"), F.col("refusals"), F.col("retry_after"), F.col("usual"))
-    out = calls.withColumn("refusals", F.count_if(F.col("code").isin(401, 402, 403)).over(so_far))
-    out = out.withColumn("ends", F.when(rest > 0, micros + rest.cast("long") * 1_000_000)).withColumn("previous", F.lag(micros).over(w))
-    free = (F.coalesce(F.max("ends").over(before), F.lit(0)) <= micros) & (F.col("previous").isNull() | (micros - F.col("previous") >= int(min_gap * 1_000_000)))
-    return out.select("provider", "key", "seq", "code", F.max("ends").over(so_far).alias("resting_until"), free.alias("free"))

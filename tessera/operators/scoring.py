@@ -130,11 +130,19 @@ def block_report(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("n_findings", total).withColumn("report_score", F.round(F.greatest(F.lit(0.0), 10.0 - fined), 1))
 
 
+def mean_of_tenths(score: Column, places: int) -> Column:
+    """The mean of scores that are tenths, rounded half up. In whole numbers, so that neither the order
+    of the rows nor binary fractions move a result across a rounding edge."""
+    total, n = F.sum(F.round(score * 10).cast("long")), F.count(score)
+    whole = F.call_function("div", total * (2 * 10 ** (places - 1)) + n, n * 2)
+    return F.when(n > 0, whole / 10.0**places)
+
+
 def bands(score: Column) -> dict[str, Column]:
     """Summary aggregates of a score column."""
     share = lambda c: F.round(100 * F.try_divide(F.count_if(c), F.count(score)), 1)
     return {
-        "avg_score": F.round(F.avg(score), 2), "min_score": F.min(score), "max_score": F.max(score), "n": F.count(score),
+        "avg_score": mean_of_tenths(score, 2), "min_score": F.min(score), "max_score": F.max(score), "n": F.count(score),
         "excellent": F.count_if(score >= 8.5), "good": F.count_if((score >= 6.5) & (score < 8.5)),
         "poor": F.count_if((score >= 4.0) & (score < 6.5)), "critical": F.count_if(score < 4.0), "pct_excellent": share(score >= 8.5),
     }

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import fleet
+from tessera.operators.ordering import first_rows
+from tessera.plans.models import _OWNER, _PROVIDERS, MODELS_CTE, SCORE_SQL, model_fitness, models, owner
 from tessera.plans.registry import Registry
 from tessera.sources.tables import table
 from tessera.streaming import calls as stream_calls
@@ -79,50 +81,42 @@ def active_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.groupBy("provider").agg(F.count("*").alias("n_keys"), F.count_if(F.col("code") < 400).alias("active"))
 
 
-_PROVIDERS = "(VALUES " + ", ".join(f"('{p}', {m}, {d}, {t})" for p, m, d, t in fleet.PROVIDERS) + ") AS pr(provider, rpm, rpd, tier)"
-
-
-def _providers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(fleet.PROVIDERS, "provider string, rpm int, rpd int, tier int")
-
-
-@R.add(f"SELECT provider, (length(provider) * rpm)::INT AS per_minute, CASE WHEN rpd = 0 THEN NULL ELSE length(provider) * rpd END::INT AS per_day FROM {_PROVIDERS}")
+@R.add(f"""{_CALLS}, k AS (SELECT {_OWNER} AS provider, count(*) AS n_keys FROM (SELECT DISTINCT user_id AS key FROM events) GROUP BY 1)
+SELECT provider, n_keys, n_keys * provider_rpm AS per_minute, CASE WHEN rpd <> 0 THEN n_keys * rpd END AS per_day FROM k JOIN {_PROVIDERS} USING (provider)""")
 def fleet_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = F.length("provider")
-    return _providers(spark).select("provider", (keys * F.col("rpm")).alias("per_minute"), F.when(F.col("rpd") != 0, keys * F.col("rpd")).alias("per_day"))
+    """What the keys in use allow each provider in a minute and a day; no limit a day: null."""
+    keys = table(spark, sf_dir, "events").select("user_id").distinct().groupBy(owner(F.col("user_id")).alias("provider")).agg(F.count("*").alias("n_keys"))
+    known = spark.createDataFrame(fleet.PROVIDERS, "provider string, rpm int, rpd int, tier int")
+    return keys.join(known, "provider").select("provider", "n_keys", (F.col("n_keys") * F.col("rpm")).alias("per_minute"), F.when(F.col("rpd") != 0, F.col("n_keys") * F.col("rpd")).alias("per_day"))
 
 
-_MODELS = [("gemini-3-flash", "GEMINI", "LEKTOR", "", 0.10), ("llama-3.3-70b", "GROQ", "PREVODILAC", "LEKTOR", 0.0), ("qwen3-235b-a22b", "CEREBRAS", "PREVODILAC", "", 0.05), ("gemma-3-27b-it", "GEMMA", "", "POLISH", 0.0), ("whisper-large", "GROQ", "", "", 0.0)]
-_MODEL_ROWS = "(VALUES " + ", ".join(f"('{m}', '{p}', '{g}', '{a}', {b}::DOUBLE)" for m, p, g, a, b in _MODELS) + ") AS mo(model, provider, prefers, avoids, bonus)"
-_RANKED = f"""WITH r AS (SELECT * FROM (VALUES ('LEKTOR'), ('PREVODILAC'), ('POLISH')) AS t(role)),
-s AS (SELECT role, model, CASE WHEN avoids = role THEN -1.0 ELSE CASE WHEN prefers = role THEN .4 ELSE 0 END + bonus + .25 * least(rpm / 30, 1) + greatest(0, (4 - tier) * .04) END::DOUBLE AS score
-  FROM {_MODEL_ROWS} JOIN {_PROVIDERS} USING (provider), r WHERE NOT regexp_matches(model, 'whisper|tts|embed|guard|image'))"""
+_TALKING = "NOT regexp_matches(model, 'whisper|tts|embed|guard|image')"
 
 
-def _scored_models(spark: SparkSession) -> DataFrame:
-    models = spark.createDataFrame(_MODELS, "model string, provider string, prefers string, avoids string, bonus double")
-    usable = models.where(~F.col("model").rlike("whisper|tts|embed|guard|image"))
-    rows = usable.join(_providers(spark), "provider").withColumn("role", F.explode(F.array(*map(F.lit, ("LEKTOR", "PREVODILAC", "POLISH")))))
-    score = fleet.model_score(F.col("avoids") == F.col("role"), F.col("prefers") == F.col("role"), F.col("bonus"), F.col("rpm"), F.col("tier"))
-    return rows.select("role", "model", score.alias("score"))
+def _scored_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usable = models(spark, sf_dir).where(~F.col("model").rlike("whisper|tts|embed|guard|image"))
+    return usable.select("role", "model_id", "model", model_fitness().alias("score"))
 
 
-@R.add(f"{_RANKED} SELECT role, model, round(score, 6) AS score FROM s")
+@R.add(f"WITH {MODELS_CTE} SELECT role, model_id, model, round({SCORE_SQL}, 6) AS score FROM mo WHERE {_TALKING}")
 def model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored_models(spark).withColumn("score", F.round("score", 6))
+    return _scored_models(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
-@R.add(f"{_RANKED} SELECT role, model, (row_number() OVER (PARTITION BY role ORDER BY score DESC, model))::INT AS place FROM s WHERE score >= 0")
+@R.add(f"WITH {MODELS_CTE}, s AS (SELECT *, round({SCORE_SQL}, 9) AS score FROM mo WHERE {_TALKING}) SELECT role, model_id, model, (row_number() OVER (PARTITION BY role ORDER BY score DESC, model_id))::INT AS place FROM s WHERE score >= 0 QUALIFY place <= 100")
 def rank_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("role").orderBy(F.desc("score"), "model"))
-    return _scored_models(spark).where("score >= 0").select("role", "model", place.alias("place"))
+    """The hundred best models of each role."""
+    order = [F.desc("score"), F.asc("model_id")]
+    best = first_rows(_scored_models(spark, sf_dir).withColumn("score", F.round("score", 9)).where("score >= 0"), ["role"], order, 100)
+    place = F.row_number().over(Window.partitionBy("role").orderBy(*order))  # a hundred rows each
+    return best.select("role", "model_id", "model", place.alias("place"))
 
 
-@R.add(f"SELECT model, coalesce(list_max(list_transform(regexp_extract_all(model, '([0-9]+)b', 1), lambda x: least(18, x::DOUBLE ** .6))), 0)::DOUBLE AS strength FROM {_MODEL_ROWS}")
+@R.add(f"WITH {MODELS_CTE} SELECT DISTINCT model_id, round(coalesce(list_max(list_transform(regexp_extract_all(model, '([0-9]+)b', 1), lambda x: least(18, x::DOUBLE ** .6))), 0), 9)::DOUBLE AS strength FROM mo")
 def model_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = spark.createDataFrame([(m[0],) for m in _MODELS], "model string")
     sizes = F.transform(F.regexp_extract_all("model", F.lit("([0-9]+)b"), F.lit(1)), lambda x: F.least(F.lit(18.0), F.pow(x.cast("double"), F.lit(0.6))))
-    return models.select("model", F.coalesce(F.array_max(sizes), F.lit(0.0)).alias("strength"))
+    named = models(spark, sf_dir).select("model_id", "model").distinct()
+    return named.select("model_id", F.round(F.coalesce(F.array_max(sizes), F.lit(0.0)), 9).alias("strength"))
 
 
 @R.add(f"""{_CALLS}, u AS (SELECT key, 'key-' || (key * 7919 + 100000) || provider AS k, avg(value) AS v, min(seq) AS s FROM calls GROUP BY ALL)

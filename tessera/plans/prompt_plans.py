@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import prompts as P
+from tessera.operators import scoring as S
 from tessera.plans.registry import Registry
-from tessera.plans.score_plans import SCORE_CTE, scored
+from tessera.plans.models import MODELS_CTE, models
+from tessera.plans.score_plans import SCORE_CTE, mean_sql, scored
+from tessera.plans.text_plans import R as TEXT_PLANS
+from tessera.plans.text_plans import block_type
 from tessera.sources.tables import table
 
 R = Registry()
@@ -25,71 +29,89 @@ def _values(rows: list[tuple], names: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + f") AS v({names})"
 
 
-_ASKED = [(r, k, b) for r in ("LEKTOR", "POLISH", "PREVODILAC", "GUARDIAN") for k in ("dijalog", "poetski", "opis", "naracija") for b in (0.2, 0.6)]
 _WARM = " ".join(f"WHEN role = '{r}' AND kind = '{k}' THEN " + (f"least(base + {v}, {c})" if c is not None else f"{v}") for (r, k), (v, c) in P.WARMER.items())
+_ROLES = ["LEKTOR", "POLISH", "PREVODILAC", "GUARDIAN"]
 
 
-@R.add(f"SELECT role, kind, base, round((CASE {_WARM} ELSE base END)::DOUBLE, 6) AS temperature FROM {_values(_ASKED, 'role, kind, base')}")
+@R.add(f"WITH bt AS ({TEXT_PLANS.oracles['block_type']}), a AS (SELECT doc_id, kind, unnest({_ROLES}) AS role, (2 + doc_id % 5) / 10.0 AS base FROM bt) SELECT doc_id, role, kind, round((CASE {_WARM} ELSE base END)::DOUBLE, 6) AS temperature FROM a")
 def adaptive_temp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_ASKED, "role string, kind string, base double")
-    return rows.withColumn("temperature", F.round(P.temperature(F.col("role"), F.col("kind"), F.col("base")), 6))
+    """The temperature of every document for each role, by its type of block and a base of its own."""
+    rows = block_type(spark, sf_dir).select("doc_id", "kind", F.explode(F.array(*map(F.lit, _ROLES))).alias("role"), ((2 + F.col("doc_id") % 5) / 10.0).alias("base"))
+    return rows.select("doc_id", "role", "kind", F.round(P.temperature(F.col("role"), F.col("kind"), F.col("base")), 6).alias("temperature"))
 
 
-_WANTED = [("LEKTOR", "some-unknown-gemini-model", 0.45, 2800), ("LEKTOR", "llama-70b", 0.5, 3000), ("POLISH", "gemini-exact", 1.4, 100), ("POLISH", "other", 0.7, 900)]
-_EXACT = [("gemini-exact", "POLISH", 0.3, 64)]
-_FAMILY = [(1, "gemini", 0.9, 2200), (2, "llama", 1.1, 2600), (3, "gem", 0.5, 100)]
+# Families of models: place in the search, part of the name, factor, most tokens.
+_FAMILY = [(1, "gemini", 0.9, 2200), (2, "groq", 1.1, 2600), (3, "gem", 0.5, 100)]
 
 
-@R.add(f"""WITH w AS (SELECT * FROM {_values(_WANTED, "role, model, temp, tokens")}), e AS (SELECT * FROM {_values(_EXACT, "model, role, t, k")}), f AS (SELECT * FROM {_values(_FAMILY, "seq, family, factor, cap")}),
+@R.add(f"""WITH {MODELS_CTE}, f AS (SELECT * FROM {_values(_FAMILY, "seq, family, factor, cap")}), e AS (SELECT model_id, role, .3 AS t, 64 AS k FROM mo WHERE model_id % 10 = 3 AND role = 'POLISH'),
+w AS (SELECT model_id, role, model, rpm / 30.0 AS temp, rpm * 60 AS tokens FROM mo),
 m AS (SELECT w.*, (SELECT struct_pack(factor := factor, cap := cap) FROM f WHERE contains(w.model, family) ORDER BY seq LIMIT 1) AS fam FROM w)
-SELECT m.role, m.model, round(least(1, greatest(0, coalesce(e.t, m.temp * coalesce(fam.factor, 1)))), 6)::DOUBLE AS temperature, greatest(128, coalesce(e.k, least(m.tokens, coalesce(fam.cap, m.tokens))))::INT AS tokens
-FROM m LEFT JOIN e ON m.model = e.model AND m.role = e.role""")
+SELECT m.model_id, m.role, round(least(1, greatest(0, coalesce(e.t, m.temp * coalesce(fam.factor, 1)))), 6)::DOUBLE AS temperature, greatest(128, coalesce(e.k, least(m.tokens, coalesce(fam.cap, m.tokens))))::INT AS tokens
+FROM m LEFT JOIN e ON m.model_id = e.model_id AND m.role = e.role""")
 def gen_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = spark.createDataFrame(_WANTED, "role string, model string, temp double, tokens int")
-    exact = spark.createDataFrame(_EXACT, "model string, role string, t double, k int")
+    """Temperature and tokens of every model and role: an exact setting, else those of the first family in its name."""
+    wanted = models(spark, sf_dir).select("model_id", "role", "model", (F.col("rpm") / 30.0).alias("temp"), (F.col("rpm") * 60).alias("tokens"))
+    exact = wanted.where("model_id % 10 = 3 AND role = 'POLISH'").select("model_id", "role", F.lit(0.3).alias("t"), F.lit(64).alias("k"))
     factor, cap = F.lit(1.0), F.col("tokens")
     for _, family, by, most in sorted(_FAMILY, reverse=True):
         factor = F.when(F.col("model").contains(family), by).otherwise(factor)
-        cap = F.when(F.col("model").contains(family), most).otherwise(cap)
+        cap = F.when(F.col("model").contains(family), F.least(F.lit(most), F.col("tokens"))).otherwise(cap)
     warm = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("t", F.col("temp") * factor)))
-    tokens = F.greatest(F.lit(128), F.coalesce("k", F.least("tokens", cap)))
-    return wanted.join(exact, ["model", "role"], "left").select("role", "model", F.round(warm, 6).alias("temperature"), tokens.alias("tokens"))
+    tokens = F.greatest(F.lit(128), F.coalesce(F.col("k"), cap))
+    return wanted.join(exact, ["model_id", "role"], "left").select("model_id", "role", F.round(warm, 6).alias("temperature"), tokens.alias("tokens"))
 
 
-_MODELS = [("v2/groq/llama-3",), ("gemini-3-flash",), ("mistral-large",), ("cohere-command",), ("what-is-this",)]
 _KNOWN = ["GEMINI", "GROQ", "MISTRAL", "COHERE"]
 
 
-@R.add(f"""WITH p AS (SELECT model, coalesce(upper(nullif(regexp_extract(model, '^v\\d+/([^/]+)/', 1), '')), CASE {" ".join(f"WHEN contains(upper(model), '{k}') THEN '{k}'" for k in _KNOWN)} END, 'unknown') AS provider FROM {_values(_MODELS, "model")})
-SELECT model, provider, list_filter({_KNOWN}, lambda x: x <> provider)[1] AS scorer FROM p""")
+@R.add(f"""WITH {MODELS_CTE}, n AS (SELECT model_id, role, CASE WHEN model_id % 3 = 0 THEN 'v2/' || split_part(model, '-', 1) || '/' || model ELSE model END AS model FROM mo),
+p AS (SELECT *, coalesce(upper(nullif(regexp_extract(model, '^v\\d+/([^/]+)/', 1), '')), CASE {" ".join(f"WHEN contains(upper(model), '{k}') THEN '{k}'" for k in _KNOWN)} END, 'unknown') AS provider FROM n)
+SELECT model, provider, list_filter({_KNOWN}, lambda x: x <> provider)[1] AS scorer, count(*) AS n FROM p GROUP BY ALL""")
 def provider_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_MODELS, "model string").withColumn("provider", P.provider_of(F.col("model"), _KNOWN))
+    """The provider that a model's name tells, the first other one to judge it, and how often it is used."""
+    versioned = F.concat(F.lit("v2/"), F.split_part("model", F.lit("-"), F.lit(1)), F.lit("/"), "model")
+    rows = models(spark, sf_dir).select(F.when(F.col("model_id") % 3 == 0, versioned).otherwise(F.col("model")).alias("model"))
+    rows = rows.withColumn("provider", P.provider_of(F.col("model"), _KNOWN))
     other = F.filter(F.array(*map(F.lit, _KNOWN)), lambda x: x != F.col("provider"))
-    return rows.withColumn("scorer", other[0])
+    return rows.groupBy("model", "provider", other[0].alias("scorer")).agg(F.count("*").alias("n"))
 
 
-_BODIES = [
-    (1, '{"candidates": [{"content": {"parts": [{"text": "skip", "thought": true}, {"text": "one"}]}}], "usageMetadata": {"totalTokenCount": 12}}'),
-    (2, '{"message": {"content": [{"text": "two"}]}, "meta": {"tokens": {"output_tokens": 7}}}'),
-    (3, '{"choices": [{"message": {"content": "three"}}], "usage": {"total_tokens": 5}}'),
-    (4, "{}"),
-]
+# Answers of three kinds of services, with a turn of a conversation as what is said; and none.
+_BODY_SQL = """CASE (conv_id + turn) % 4 WHEN 0 THEN '{"candidates": [{"content": {"parts": [{"text": "skip", "thought": true}, {"text": ' || to_json(text) || '}]}}], "usageMetadata": {"totalTokenCount": ' || length(text) || '}}'
+  WHEN 1 THEN '{"message": {"content": [{"text": ' || to_json(text) || '}]}, "meta": {"tokens": {"output_tokens": ' || length(text) || '}}}'
+  WHEN 2 THEN '{"choices": [{"message": {"content": ' || to_json(text) || '}}], "usage": {"total_tokens": ' || length(text) || '}}' ELSE '{}' END"""
 
 
-@R.add(f"""SELECT i, coalesce(nullif(array_to_string(list_transform(list_filter(from_json(json_extract(b, '$.candidates[0].content.parts'), '[{{"text":"VARCHAR","thought":"BOOLEAN"}}]'), lambda p: NOT coalesce(p.thought, false)), lambda p: p.text), ''), ''),
-  json_extract_string(b, '$.message.content[0].text'), json_extract_string(b, '$.choices[0].message.content'), '') AS answer,
-  coalesce((b->>'$.usageMetadata.totalTokenCount')::BIGINT, (b->>'$.usage.total_tokens')::BIGINT, (b->>'$.meta.tokens.output_tokens')::BIGINT, 0) AS tokens FROM {_values(_BODIES, "i, b")}""")
-def response_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_BODIES, "i int, b string")
-    return rows.select("i", P.response_text(F.col("b")).alias("answer"), P.tokens_used(F.col("b")).alias("tokens"))
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said, size = F.to_json(F.struct(F.col("text").alias("x"))), F.length("text").cast("string")
+    said = F.substr(said, F.lit(6), F.length(said) - 6)  # the value of {"x":...}
+    joined = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    shapes = [
+        joined('{"candidates": [{"content": {"parts": [{"text": "skip", "thought": true}, {"text": ', said, '}]}}], "usageMetadata": {"totalTokenCount": ', size, "}}"),
+        joined('{"message": {"content": [{"text": ', said, '}]}, "meta": {"tokens": {"output_tokens": ', size, "}}}"),
+        joined('{"choices": [{"message": {"content": ', said, '}}], "usage": {"total_tokens": ', size, "}}"),
+    ]
+    kind = (F.col("conv_id") + F.col("turn")) % 4
+    body = F.when(kind == 0, shapes[0]).when(kind == 1, shapes[1]).when(kind == 2, shapes[2]).otherwise("{}")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("b"))
 
 
-_JUDGED = [(1, 'x {"ocjena": 7.5} y'), (2, '{"ocjena": 70, "kriteriji": {"a": 6.0, "b": 9.0}}'), (3, '{"kriteriji": {"a": 4.0, "b": 5.0, "c": 6.0}}'), (4, "none")]
+@R.add("SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 4 = 3 THEN '' ELSE text END AS answer, CASE WHEN (conv_id + turn) % 4 = 3 THEN 0 ELSE length(text) END::BIGINT AS tokens FROM conversations")
+def response_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said in every answer, and its tokens; the SQL knows what was put in."""
+    return _answers(spark, sf_dir).select("conv_id", "turn", P.response_text(F.col("b")).alias("answer"), P.tokens_used(F.col("b")).alias("tokens"))
 
 
-@R.add("SELECT * FROM (VALUES (1, 7.5::DOUBLE), (2, 7.5), (3, 5.0), (4, NULL)) AS t(i, score)")
+@R.add(f"""WITH {SCORE_CTE} SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN NULL WHEN 0 THEN score ELSE (round(score * 10)::BIGINT + 61) // 2 / 10.0 END::DOUBLE AS score FROM sc""")
 def judged_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_JUDGED, "i int, answer string").select("i", P.judged_score(F.col("answer")).alias("score"))
+    """The score in a judge's answer about each document: given, out of bounds beside its criteria, by
+    criteria alone, and none."""
+    score = F.col("score").cast("string")
+    parts = F.concat(F.lit('"kriteriji": {"a": '), score, F.lit(', "b": 6.0}}'))
+    kind = F.col("doc_id") % 4
+    answer = F.when(kind == 0, F.concat(F.lit('well {"ocjena": '), score, F.lit("} so"))).when(kind == 1, F.concat(F.lit('{"ocjena": 70, '), parts)).when(kind == 2, F.concat(F.lit("{"), parts)).otherwise("none")
+    return scored(spark, sf_dir).select("doc_id", P.judged_score(answer).alias("score"))
 
 
 @R.add(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace('user: ' || text || '<OVDJE_IDI_TEKST>', '<OVDJE_IDI_[^>]*>', '', 'g'), '(?m)^\s*(user|assistant|system):\s*', '', 'g'), chr(32) || chr(9) || chr(10) || chr(13)) AS text FROM conversations""")
@@ -133,11 +155,11 @@ def dead_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.join(dead, "event_type", "left_anti").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@R.add(f"""WITH {SCORE_CTE}, runs AS (SELECT source, arg_max(doc_id, doc_id) FILTER (score >= 4) AS newest, avg(score) FILTER (doc_id % 2 = 0) - avg(score) FILTER (doc_id % 2 = 1) AS fall FROM sc GROUP BY source)
+@R.add(f"""WITH {SCORE_CTE}, runs AS (SELECT source, arg_max(doc_id, doc_id) FILTER (score >= 4) AS newest, {mean_sql('CASE WHEN doc_id % 2 = 0 THEN score END', 4)} - {mean_sql('CASE WHEN doc_id % 2 = 1 THEN score END', 4)} AS fall FROM sc GROUP BY source)
 SELECT source, newest, CASE WHEN fall > .3 THEN 'rollback' ELSE 'aktivan' END AS state FROM runs""")
 def rollback_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.col("doc_id") % 2 == 0
-    runs = scored(spark, sf_dir).groupBy("source").agg(F.max(F.when(F.col("score") >= 4, F.col("doc_id"))).alias("newest"), (F.avg(F.when(even, F.col("score"))) - F.avg(F.when(~even, F.col("score")))).alias("fall"))
+    runs = scored(spark, sf_dir).groupBy("source").agg(F.max(F.when(F.col("score") >= 4, F.col("doc_id"))).alias("newest"), (S.mean_of_tenths(F.when(even, F.col("score")), 4) - S.mean_of_tenths(F.when(~even, F.col("score")), 4)).alias("fall"))
     return runs.select("source", "newest", F.when(F.col("fall") > 0.3, "rollback").otherwise("aktivan").alias("state"))
 
 

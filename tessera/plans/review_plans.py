@@ -11,7 +11,8 @@ from tessera.operators import review as V
 from tessera.operators import scoring as S
 from tessera.operators.ordering import first_rows
 from tessera.plans.block_plans import _CANDIDATES, _DECLINED, _NOUNS, _candidates, decline_names
-from tessera.plans.fleet_plans import _CALLS, calls
+from tessera.plans.fleet_plans import _CALLS, _KEYS, calls
+from tessera.plans.models import MODELS_CTE, SCORE_SQL, _OWNER, model_fitness, models, owner
 from tessera.plans.registry import Registry
 from tessera.plans.score_plans import _BANDS, SCORE_CTE, scored
 from tessera.sources.tables import table
@@ -83,14 +84,16 @@ def protected_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
 
 
-_PARATEXT = " OR ".join(f"contains(lower(text), '{w}')" for w in T.PARATEXT)
+_MATTER = " OR ".join(f"contains(file, '{w}')" for w in T.PARATEXT_FILES)
 
 
-@R.add(f"WITH {SCORE_CTE} SELECT doc_id, CASE WHEN {_PARATEXT} THEN 10.0 ELSE score END::DOUBLE AS score FROM sc")
+@R.add(f"WITH {SCORE_CTE}, f AS (SELECT page_id, replace(replace(lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)), '_', ''), '-', '') AS file, page_id AS doc_id FROM pages) SELECT f.page_id, CASE WHEN {_MATTER} THEN 8.5 ELSE score END::DOUBLE AS score FROM f LEFT JOIN sc USING (doc_id)")
 def paratext_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Front and back matter needs no rewriting: it has the best score."""
-    matter = F.exists(F.array(*map(F.lit, T.PARATEXT)), lambda w: F.lower("text").contains(w))
-    return scored(spark, sf_dir).select("doc_id", F.when(matter, 10.0).otherwise(F.col("score")).alias("score"))
+    """Front and back matter is known by its file's name and has a fixed score; the rest its own."""
+    path = F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)
+    pages = table(spark, sf_dir, "pages").select("page_id", T.paratext_file(path).alias("matter"), F.col("page_id").alias("doc_id"))
+    own = pages.join(scored(spark, sf_dir).select("doc_id", "score"), "doc_id", "left")
+    return own.select("page_id", F.when(F.col("matter"), T.PARATEXT_SCORE).otherwise(F.col("score")).alias("score"))
 
 
 _VERBS = {"rekao": "rekla", "bio": "bila", "vidio": "vidjela", "pogledao": "pogledala"}
@@ -118,29 +121,6 @@ def gender_clues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clues.groupBy("source", "name").agg(F.count_if(F.col("clue") == "M").alias("clue_m"), F.count_if(F.col("clue") == "Ž").alias("clue_f"))
 
 
-@R.add(f"""{_CALLS}, a AS (SELECT *, CASE WHEN seq % 50 = 7 THEN 402 ELSE code END AS answer, CASE seq % 5 WHEN 0 THEN 5000 WHEN 1 THEN 90 WHEN 2 THEN 30 ELSE 0 END AS retry_after FROM calls),
-e AS (SELECT *, count(*) FILTER (answer IN (401, 402, 403)) OVER w AS refusals, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY provider, key ORDER BY ts, seq)) AS gap
-  FROM a WINDOW w AS (PARTITION BY provider, key ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
-r AS (SELECT *, CASE WHEN answer IN (401, 402, 403) THEN CASE WHEN answer = 402 OR refusals >= 2 THEN 86400 ELSE 300 END
-  WHEN answer = 429 THEN CASE WHEN retry_after > 3600 THEN least(retry_after, 90000) WHEN retry_after > 60 THEN least(retry_after, 86400) WHEN retry_after > 0 THEN least(retry_after, 120) ELSE 45 END ELSE 0 END AS rest FROM e),
-u AS (SELECT *, CASE WHEN rest > 0 THEN epoch_us(ts) + rest::BIGINT * 1000000 END AS ends FROM r)
-SELECT provider, key, seq, answer AS code, (max(ends) OVER (PARTITION BY provider, key ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))::BIGINT AS resting_until,
-  coalesce(max(ends) OVER (PARTITION BY provider, key ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= epoch_us(ts) AND (gap IS NULL OR gap >= 2000000) AS free FROM u""")
-def cooldown_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = calls(table(spark, sf_dir, "events"))
-    seq = F.col("seq")
-    asked = F.when(seq % 5 == 0, 5000).when(seq % 5 == 1, 90).when(seq % 5 == 2, 30).otherwise(0)
-    made = made.withColumn("code", F.when(seq % 50 == 7, 402).otherwise(F.col("code"))).withColumn("retry_after", asked).withColumn("usual", F.lit(45))
-    return V.key_states(made, 2.0)
-
-
-_NAMES = ["Flash-8b", "pro-flash", "gemma-4-it", "command-r", "text-embedding-3", "llama:free", "whisper-large", "mixtral", "x/registries/y", "guard-2"]
-_PROVIDERS = [*V.PROVIDER_WORDS, "OTHER"]
-_MODELS_OF = f"""md AS (SELECT DISTINCT [{", ".join(f"'{p}'" for p in _PROVIDERS)}][event_id % {len(_PROVIDERS)} + 1] AS provider,
-  [{", ".join(f"'{n}'" for n in _NAMES)}][(event_id // 10) % {len(_NAMES)} + 1] AS model, user_id % 3 = 0 AS failed FROM events),
-mo AS (SELECT provider, model, bool_or(failed) AS failed FROM md GROUP BY ALL)"""
-
-
 def _chat_sql() -> str:
     tests = ["NOT (" + " OR ".join(f"contains(lower(model), '{w}')" for w in V.NOT_CHAT) + ")"]
     for provider, (wanted, unwanted) in V.PROVIDER_WORDS.items():
@@ -150,31 +130,44 @@ def _chat_sql() -> str:
     return " AND ".join(tests)
 
 
-def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda values, place: F.element_at(F.array(*map(F.lit, values)), (place + 1).cast("int"))
-    events = table(spark, sf_dir, "events")
-    provider, model = at(_PROVIDERS, F.col("event_id") % len(_PROVIDERS)), at(_NAMES, F.floor(F.col("event_id") / 10) % len(_NAMES))
-    return events.groupBy(provider.alias("provider"), model.alias("model")).agg(F.bool_or(F.col("user_id") % 3 == 0).alias("failed"))
+@R.add(f"WITH {MODELS_CTE} SELECT DISTINCT model_id, provider, model FROM mo WHERE {_chat_sql()}")
+def model_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models(spark, sf_dir).where(V.chats(F.col("provider"), F.col("model"))).select("model_id", "provider", "model").distinct()
 
 
-@R.add(f"WITH {_MODELS_OF} SELECT provider, model FROM mo WHERE {_chat_sql()}")
-def model_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _models(spark, sf_dir).where(V.chats(F.col("provider"), F.col("model"))).select("provider", "model")
+_HEALTH = """ok AS (SELECT l_partkey AS model_id, count(*) FILTER (l_returnflag <> 'R') / count(*) AS health, count(*) AS n FROM lineitem GROUP BY l_partkey)"""
 
 
-@R.add(f"WITH {_MODELS_OF}, d AS (SELECT *, provider < 'H' OR length(model) % 2 = 0 AS dead FROM mo), a AS (SELECT *, count(*) FILTER (NOT dead) OVER (PARTITION BY provider) AS alive FROM d) SELECT provider, model FROM a WHERE NOT dead OR alive = 0")
-def living_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = _models(spark, sf_dir).select("provider", "model")
-    return V.living(models, models.where((F.col("provider") < "H") | (F.length("model") % 2 == 0)))
+def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items stand for answers of models, returned ones for failures."""
+    good = F.count_if(F.col("l_returnflag") != "R") / F.count("*")
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("model_id")).agg(good.alias("health"))
 
 
-@R.add(f"""{_CALLS}, {_MODELS_OF}, k AS (SELECT DISTINCT upper(provider) AS p, key, code FROM calls),
-f AS (SELECT key, bool_or(code = 401) AS refused FROM k GROUP BY key), c AS (SELECT provider, model, row_number() OVER (PARTITION BY provider ORDER BY length(model), model) AS place FROM mo WHERE {_chat_sql()})
-SELECT c.provider, model, key, place::INT AS place FROM c JOIN f ON NOT refused OR key % 2 = 0 WHERE place <= 2 AND key % {len(_PROVIDERS)} = list_position([{", ".join(f"'{p}'" for p in _PROVIDERS)}], c.provider) - 1""")
+@R.add(f"WITH {MODELS_CTE}, {_HEALTH}, d AS (SELECT provider, model, bool_or(coalesce(health < .7, false) OR provider < 'D') AS dead FROM mo LEFT JOIN ok USING (model_id) GROUP BY ALL), a AS (SELECT *, count(*) FILTER (NOT dead) OVER (PARTITION BY provider) AS alive FROM d) SELECT provider, model FROM a WHERE NOT dead OR alive = 0 GROUP BY ALL")
+def living_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models that answer, and all those of providers of which none does."""
+    known = models(spark, sf_dir).select("model_id", "provider", "model")
+    dead = known.join(_health(spark, sf_dir), "model_id", "left").where((F.col("health") < 0.7) | (F.col("provider") < "D"))
+    return V.living(known, dead.select("provider", "model")).select("provider", "model").distinct()
+
+
+@R.add(f"""{_CALLS}, {_KEYS}, {MODELS_CTE}, {_HEALTH},
+rest AS (SELECT provider, key, max(seq) FILTER (code IN (401, 402, 403)) AS refused, max(seq) FILTER (code = 200) AS good FROM calls GROUP BY ALL),
+fr AS (SELECT {_OWNER} AS provider, count(*) FILTER (coalesce(good, -1) > coalesce(refused, -1)) AS n_keys FROM (SELECT DISTINCT key, max(refused) OVER (PARTITION BY key) AS refused, max(good) OVER (PARTITION BY key) AS good FROM rest) GROUP BY 1),
+s AS (SELECT mo.*, {SCORE_SQL} * coalesce(health, 1) AS fitness, health FROM mo LEFT JOIN ok USING (model_id) WHERE {_chat_sql()}),
+r AS (SELECT s.*, n_keys, row_number() OVER (PARTITION BY role ORDER BY round(fitness, 9) DESC, model_id) AS place FROM s JOIN fr USING (provider) WHERE fitness >= 0 AND coalesce(health, 1) >= .1 AND n_keys > 0)
+SELECT role, model_id, provider, model, round(fitness, 6) AS fitness, n_keys, place::INT AS place FROM r WHERE place <= 20""")
 def route_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each provider, its two best chat models with every key of it that can be used."""
-    keys = calls(table(spark, sf_dir, "events")).groupBy("key").agg(F.bool_or(F.col("code") == 401).alias("refused")).where("NOT refused OR key % 2 = 0")
-    owner = F.element_at(F.array(*map(F.lit, _PROVIDERS)), (F.col("key") % len(_PROVIDERS) + 1).cast("int"))
-    ranked = first_rows(model_filter(spark, sf_dir).withColumn("n", F.length("model")), ["provider"], ["n", "model"], 2)
-    placed = ranked.withColumn("place", F.row_number().over(Window.partitionBy("provider").orderBy("n", "model")))  # two rows each
-    return placed.join(keys.select("key", owner.alias("provider")), "provider").select("provider", "model", "key", "place")
+    """The twenty best models of each role: fitness for it times health, of providers that have a key
+    whose last word was not a refusal."""
+    last = calls(table(spark, sf_dir, "events")).groupBy("key").agg(F.max(F.when(F.col("code").isin(401, 402, 403), F.col("seq"))).alias("refused"), F.max(F.when(F.col("code") == 200, F.col("seq"))).alias("good"))
+    usable = F.coalesce("good", F.lit(-1)) > F.coalesce("refused", F.lit(-1))
+    keys = last.groupBy(owner(F.col("key")).alias("provider")).agg(F.count_if(usable).alias("n_keys")).where("n_keys > 0")
+    fit = models(spark, sf_dir).where(V.chats(F.col("provider"), F.col("model"))).withColumn("score", model_fitness())
+    rated = fit.join(_health(spark, sf_dir), "model_id", "left").where((F.col("score") >= 0) & (F.coalesce("health", F.lit(1.0)) >= 0.1)).join(keys, "provider")
+    rated = rated.withColumn("fitness", F.col("score") * F.coalesce("health", F.lit(1.0)))
+    order = [F.desc(F.round("fitness", 9)), F.asc("model_id")]
+    best = first_rows(rated, ["role"], order, 20)
+    placed = best.withColumn("place", F.row_number().over(Window.partitionBy("role").orderBy(*order)))  # twenty rows each
+    return placed.select("role", "model_id", "provider", "model", F.round("fitness", 6).alias("fitness"), "n_keys", "place")

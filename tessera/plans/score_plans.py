@@ -57,7 +57,12 @@ def max_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.max_trigram(F.col("text")).alias("max_repeat"))
 
 
-_BANDS = """round(avg(score), 2) AS avg_score, min(score) AS min_score, max(score) AS max_score, count(score) AS n,
+def mean_sql(score: str, places: int) -> str:
+    """The mean of tenths as `mean_of_tenths` has it."""
+    return f"CASE WHEN count({score}) > 0 THEN ((sum(round({score} * 10)::BIGINT) * {2 * 10 ** (places - 1)} + count({score})) // (2 * count({score})))::BIGINT / {10.0**places} END"
+
+
+_BANDS = f"""{mean_sql("score", 2)} AS avg_score, min(score) AS min_score, max(score) AS max_score, count(score) AS n,
   count(*) FILTER (score >= 8.5) AS excellent, count(*) FILTER (score >= 6.5 AND score < 8.5) AS good,
   count(*) FILTER (score >= 4 AND score < 6.5) AS poor, count(*) FILTER (score < 4) AS critical,
   round(100 * count(*) FILTER (score >= 8.5) / nullif(count(score), 0), 1) AS pct_excellent"""
@@ -80,9 +85,9 @@ def blocks_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return low.groupBy("source").agg(F.sort_array(F.collect_list(entry)).getField("t").alias("blocks"))
 
 
-@R.add(f"WITH {SCORE_CTE} SELECT source, lang, count(*) AS n, round(avg(score), 4) AS avg_score FROM sc GROUP BY ROLLUP (source, lang)")
+@R.add(f"WITH {SCORE_CTE} SELECT source, lang, count(*) AS n, {mean_sql("score", 4)} AS avg_score FROM sc GROUP BY ROLLUP (source, lang)")
 def quality_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).rollup("source", "lang").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("avg_score"))
+    return scored(spark, sf_dir).rollup("source", "lang").agg(F.count("*").alias("n"), S.mean_of_tenths(F.col("score"), 4).alias("avg_score"))
 
 
 @R.add(f"WITH {SCORE_CTE} SELECT source, count(*) FILTER (score < 6.5)::DOUBLE / count(*) AS bad_share, CASE WHEN count(*) FILTER (score < 6.5)::DOUBLE / count(*) > .30 THEN 'AUTO-RETRO' WHEN count(*) >= 40 THEN 'RESUME' ELSE 'DETECT' END AS strategy FROM sc GROUP BY source")
@@ -145,12 +150,12 @@ def qa_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reported(spark, sf_dir)
 
 
-_QA = "count(*) AS n, round(avg(greatest(0.0, 10.0 - (e * 2.0 + c * 1.5 + t * .5 + g * 3.0))), 2)::DOUBLE AS avg_score, count(*) FILTER (e + c + t + g = 0) AS n_clean, round(100 * count(*) FILTER (e > 0) / count(*), 1) AS pct_ekavian, round(100 * count(*) FILTER (t > 0) / count(*), 1) AS pct_typography, round(100 * count(*) FILTER (c > 0) / count(*), 1) AS pct_calques, round(100 * count(*) FILTER (g > 0) / count(*), 1) AS pct_english"
+_QA = f"count(*) AS n, {mean_sql('greatest(0.0, 10.0 - (e * 2.0 + c * 1.5 + t * .5 + g * 3.0))', 2)} AS avg_score, count(*) FILTER (e + c + t + g = 0) AS n_clean, round(100 * count(*) FILTER (e > 0) / count(*), 1) AS pct_ekavian, round(100 * count(*) FILTER (t > 0) / count(*), 1) AS pct_typography, round(100 * count(*) FILTER (c > 0) / count(*), 1) AS pct_calques, round(100 * count(*) FILTER (g > 0) / count(*), 1) AS pct_english"
 
 
 def _qa(rows: DataFrame) -> list:
     share = lambda c: F.round(100 * F.count_if(F.col(c) > 0) / F.count("*"), 1)
-    return [F.count("*").alias("n"), F.round(F.avg("report_score"), 2).alias("avg_score"), F.count_if(F.col("n_findings") == 0).alias("n_clean"), share("n_ekavian").alias("pct_ekavian"), share("n_typography").alias("pct_typography"), share("n_calques").alias("pct_calques"), share("n_english").alias("pct_english")]
+    return [F.count("*").alias("n"), S.mean_of_tenths(F.col("report_score"), 2).alias("avg_score"), F.count_if(F.col("n_findings") == 0).alias("n_clean"), share("n_ekavian").alias("pct_ekavian"), share("n_typography").alias("pct_typography"), share("n_calques").alias("pct_calques"), share("n_english").alias("pct_english")]
 
 
 @R.add(f"WITH reported AS ({_PLANTED}), r AS ({_REPORT}) SELECT {_QA} FROM r")
