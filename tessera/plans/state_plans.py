@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import key_state as K
+from tessera.operators import scoring as S
 from tessera.plans.fleet_plans import _CALLS, calls
 from tessera.plans.registry import Registry
+from tessera.plans.score_plans import SCORE_CTE
 from tessera.sources.tables import table
+from tessera.sources.work import work_dir
+from tessera.streaming import calls as stream_calls
+from tessera.streaming import key_state as stream_state
+from tessera.streaming.results import BlockSink, run_blocks
 
 R = Registry()
 
@@ -84,3 +90,30 @@ def retry_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.when(i % 11 == 0, 403).otherwise(429)
     made = K.retry_after(code, headers, body, F.col("ts"), F.lit(15))
     return table(spark, sf_dir, "events").select("event_id", made.alias("seconds"))
+
+
+@R.add(f"{_STATES} SELECT provider, key, seq, code, control, until AS resting_until, free, ok, failed, rejected FROM st WHERE n > 0")
+def cooldown_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states again, from a stream of the events; an event of no key far behind them closes it."""
+    folder = work_dir(spark, "states")
+    source = _events(spark, sf_dir)
+    end = source.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL")
+    closing = end.select(*((F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias(c) if c == "ts" else F.lit("-" if t == "string" else 0).cast(t).alias(c) for c, t in source.dtypes))
+    stamped = lambda df: df.withColumn("ts", F.col("ts").cast("timestamp"))  # noqa: E731  watermarks need a zone
+    stamped(source).write.parquet(f"{folder}/in/events")
+    stamped(closing).write.parquet(f"{folder}/in/closing")
+    stream = spark.readStream.schema(stamped(source).schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    stream_calls.run_to_table(stream_state.follow(stream, 2.0, "1 day"), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(K.OUTPUT).parquet(f"{folder}/out").where("key <> '0' OR provider <> '-'")
+
+
+@R.add(f"WITH {SCORE_CTE} SELECT source || '_blok_' || doc_id AS stem, source AS file, doc_id AS block, score, text FROM sc")
+def block_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a stream of blocks, scored exactly once each."""
+    folder = work_dir(spark, "results")
+    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
+    named = docs.withColumn("stem", F.concat("source", F.lit("_blok_"), F.col("doc_id").cast("string")))
+    model = lambda rows: S.heuristic_score(rows).select("stem", F.col("source").alias("file"), F.col("doc_id").alias("block"), "score", "text")
+    sink = BlockSink(folder, model)
+    run_blocks(named, sink, f"{folder}/checkpoint")
+    return sink.results(spark).drop("batch")
