@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.rules import fixed_parts
+
 # A word with what tells the start of a sentence: an end mark and white space, or a line break.
 TOKEN = r"([.!?]\s|\n)?[\p{L}\p{N}_]+"
 CHARACTER = "^[A-ZČĆŠĐŽА-Я][a-zčćšđžа-я]{2,}$"
@@ -33,14 +35,11 @@ def counted_rewrite(docs: DataFrame, rules: list[tuple[str, str]], text: str = "
 
 
 def protected(text: Column, terms: list[str], change) -> Column:
-    """Applies a change to a text whose terms, longest first, are out of its reach."""
-    ordered = sorted(terms, key=lambda t: (-len(t), t))
-    for i, term in enumerate(ordered):
-        text = F.replace(text, F.lit(term), F.lit(f"\u0001{i}\u0002"))
-    text = change(text)
-    for i, term in enumerate(ordered):
-        text = F.replace(text, F.lit(f"\u0001{i}\u0002"), F.lit(term))
-    return text
+    """Applies a change to what lies between the terms of a glossary: whole words, whatever the case,
+    longest first."""
+    fixed = F.lit(fixed_parts(terms, tags=False))
+    kept = F.regexp_extract_all(text, fixed, F.lit(0))
+    return F.array_join(F.zip_with(F.transform(F.split(text, fixed, -1), change), kept, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 def gender_clues(docs: DataFrame, verbs: dict[str, str], titles: dict[str, str], text: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import mining as M
 from tessera.operators import review as V
+from tessera.operators import rules as U
 from tessera.operators import scoring as S
 from tessera.operators.ordering import first_rows
 from tessera.plans.block_plans import _CANDIDATES, _DECLINED, _NOUNS, _candidates, decline_names
@@ -77,13 +78,40 @@ def rule_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.groupBy("rule").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("n_docs"))
 
 
-@R.add(r"""SELECT doc_id, replace(replace(regexp_replace(replace(replace(text, 'Licensed', chr(1) || '0' || chr(2)), 'tion', chr(1) || '1' || chr(2)), '[ti][io]', '_', 'g'), chr(1) || '0' || chr(2), 'Licensed'), chr(1) || '1' || chr(2), 'tion') AS text FROM documents""")
+# Terms of the glossary: words of all documents; the SQL rewrites word by word, by the same bounds.
+_TERMS = ["tion", "the", "und", "de"]
+
+
+@R.add(rf"""WITH p AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{N}}_]+') AS ws, regexp_split_to_array(text, '[\p{{L}}\p{{M}}\p{{N}}_]+') AS gaps FROM documents)
+SELECT doc_id, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: regexp_replace(gaps[i], '[ti][io]|[0-9]', '_', 'g') || coalesce(CASE WHEN lower(ws[i]) IN ({", ".join(f"'{t}'" for t in _TERMS)}) THEN ws[i] ELSE regexp_replace(ws[i], '[ti][io]|[0-9]', '_', 'g') END, '')), '') AS text FROM p""")
 def protected_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that may not touch the terms of a glossary."""
-    text = V.protected(F.col("text"), ["tion", "Licensed"], lambda t: F.regexp_replace(t, "[ti][io]", "_"))
+    text = V.protected(F.col("text"), _TERMS, lambda t: F.regexp_replace(t, "[ti][io]|[0-9]", "_"))
     return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
 
 
+_RULE_COUNT = 300
+# The commonest words are rules; each adds a mark, so the length tells how often it was used.
+_COMMON = rf"""co AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{{4,}}')) AS w FROM benchmark) GROUP BY w),
+ru AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS seq FROM co QUALIFY seq <= {_RULE_COUNT}), al AS (SELECT list(w ORDER BY seq) AS ws FROM ru)"""
+
+
+@R.add(f"""WITH {_COMMON}, r AS (SELECT doc_id, text AS old, list_reduce(list_prepend(text, ws), lambda acc, w: regexp_replace(acc, w, upper(w) || '+', 'gi')) AS text FROM documents, al)
+SELECT doc_id, '<p class="' || (SELECT ws[1] FROM al) || '">' || text || '</p>' AS text, (length(text) - length(old))::BIGINT AS n FROM r""")
+def rule_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hundred rules from a table, in order; tags, which hold words of rules, stay."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{4,}"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    common = words.orderBy(F.desc("n"), "w").limit(_RULE_COUNT)
+    order = Window.orderBy(F.desc("n"), "w")  # the rules of one engine
+    rules = common.select(F.row_number().over(order).alias("seq"), F.col("w").alias("pattern"), F.concat(F.upper("w"), F.lit("+")).alias("replacement"), F.lit("word").alias("category"))
+    first = rules.where("seq = 1").head()
+    opening = F.lit(f'<p class="{first["pattern"] if first else ""}">')
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(opening, "text", F.lit("</p>")).alias("text"))
+    made = U.apply_rules(docs, rules)
+    n = F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + h["n"])
+    return made.select("doc_id", "text", n.alias("n"))
+
+
 _MATTER = " OR ".join(f"contains(file, '{w}')" for w in T.PARATEXT_FILES)
 
 
