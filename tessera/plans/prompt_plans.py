@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import exemplars as E
 from tessera.operators import prompts as P
 from tessera.operators import scoring as S
 from tessera.plans.registry import Registry
@@ -194,19 +191,23 @@ def skip_editor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", ((F.length("text") >= 100) & (T.english_share(F.col("text")) <= 0.03)).alias("skip"))
 
 
-def _sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """difflib similarity of the first 300 normalised characters."""
-    for a, b in pairs:
-        yield pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+@R.add(None)
+def similar_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and benchmark texts alike at 0.75 or more."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), E.normalised(F.col("text")).alias("t"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), E.normalised(F.col("text")).alias("t"))
+    return E.alike(docs, items, E.ALIKE).select(F.col("exemplar_id").alias("item_id"), F.col("text_id").alias("doc_id"), "likeness")
 
 
 @R.add(None)
-def similar_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts and documents alike at 0.75 or more. Pairs come from shared runs of three words,
-    which an edit in every fourth word leaves; texts alike without such a run are not compared."""
-    norm = F.left(F.regexp_replace(F.lower("text"), r"\s+", " "), F.lit(300))
-    runs = lambda df: df.withColumn("run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(F.col("w"), i, 3))))))
-    items = table(spark, sf_dir, "benchmark").select("item_id", norm.alias("t")).withColumn("w", F.split("t", " "))
-    docs = table(spark, sf_dir, "documents").select("doc_id", norm.alias("t")).withColumn("w", F.split("t", " "))
-    pairs = runs(items).select("item_id", "run", F.col("t").alias("a")).join(runs(docs).select("doc_id", "run", F.col("t").alias("b")), "run").drop("run").distinct()
-    return pairs.withColumn("likeness", F.pandas_udf(_sequence_ratio, "double")("a", "b")).where("likeness >= 0.75").select("item_id", "doc_id", "likeness")
+def exemplar_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three exemplars most like each document, of its type of block."""
+    of = lambda name, key: table(spark, sf_dir, name).select(F.col(key).alias("id"), T.block_type(F.col("text")).alias("kind"), E.normalised(F.col("text")).alias("t"))
+    return E.lookup(of("documents", "doc_id"), of("benchmark", "item_id"))
+
+
+@R.add(None)
+def exemplar_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best two hundred documents that are not too alike: a store of examples."""
+    rows = scored(spark, sf_dir).select(F.col("doc_id").alias("id"), "score", E.normalised(F.col("text")).alias("t"))
+    return E.stored(rows).select(F.col("id").alias("doc_id"), "score", "place")

@@ -1,19 +1,27 @@
 import difflib
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.operators import exemplars as E
 from tessera.plans import catalog
 from tests.oracle import SF_DIR
 
 
+def _norm(text):
+    return re.sub(r"\s+", " ", text).strip().lower()[:300]
+
+
 def _brute(spark, folder):
     def texts(name, key):
-        return [(r[0], re.sub(r"\s+", " ", (r[1] or "").lower())[:300]) for r in spark.read.parquet(f"{folder}/{name}.parquet").select(key, "text").collect()]
+        return [(r[0], _norm(r[1])) for r in spark.read.parquet(f"{folder}/{name}.parquet").select(key, "text").collect() if r[1] is not None]
 
     found = set()
-    for i, a in texts("benchmark", "item_id"):
-        for d, b in texts("documents", "doc_id"):
+    items = texts("benchmark", "item_id")
+    for d, a in texts("documents", "doc_id"):
+        for i, b in items:
             m = difflib.SequenceMatcher(None, a, b)
             if m.real_quick_ratio() >= 0.75 and m.quick_ratio() >= 0.75 and m.ratio() >= 0.75:
                 found.add((i, d))
@@ -25,15 +33,94 @@ def _found(spark, folder):
 
 
 def test_planted_texts_equal_brute_force(spark, tmp_path):
-    text = "the quick brown fox jumps over the lazy dog and runs far away from the old stone house"
-    every_fourth = " ".join(w[:-1] + "x" if i % 4 == 3 else w for i, w in enumerate(text.split(" ")))
-    rows = [(1, text), (2, text.replace("stone", "wooden")), (3, "something else entirely, with no words of the other"), (4, None), (5, ""), (6, every_fourth)]
-    spark.createDataFrame([(1, text), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert _found(spark, tmp_path) >= {(1, 1), (1, 2), (1, 6)}
-    assert not _found(spark, tmp_path) & {(1, 3), (1, 4), (1, 5)}
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    items, docs = [(100, None), (101, ""), (102, "x" * 900)], [(5000, None), (5001, " \n"), (5002, "x" * 400), (5003, "ab")]
+    for i in range(40):
+        text = [rng.choice(words) for _ in range(rng.randint(4, 60))]
+        items.append((i, " ".join(text)))
+        # The last letter of every third, then of every word: no run of three words stays whole.
+        for k in (3, 1):
+            docs.append((i * 10 + k, " ".join(w[:-1] + "Z" if j % k == 0 else w for j, w in enumerate(text))))
+        docs.append((i * 10 + 5, " ".join(rng.choice(words) for _ in range(40))))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = _brute(spark, tmp_path)
+    # difflib leaves common letters of long texts out, so not every pair reaches 0.75.
+    assert len({(i, i * 10 + k) for i in range(40) for k in (1, 3)} & want) >= 30
+    assert _found(spark, tmp_path) == want
 
 
 @pytest.mark.parametrize("folder", [SF_DIR])
 def test_equals_brute_force(spark, folder):
     assert _found(spark, folder) == _brute(spark, folder)
+
+
+def test_common_subsequence_is_exact_or_a_bound():
+    rng = random.Random(2)
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randint(0, 90))) for _ in range(2))
+        assert E.common(E.places(a), len(a), b, 0) == plain(a, b)
+        least = rng.randint(0, 90)
+        got = E.common(E.places(a), len(a), b, least)
+        assert got == plain(a, b) or plain(a, b) <= got < least
+
+
+def test_several_blocks_of_exemplars_and_the_best_of_a_kind(spark, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK", 3)
+    texts = spark.createDataFrame([(1, "k", "the old house by the river"), (2, "m", "the old house by the river"), (3, None, "nothing")], "id long, kind string, t string")
+    rows = [(10 + i, "k" if i % 2 else "m", "the old house by the river"[: 26 - i]) for i in range(9)] + [(30, None, "nothing")]
+    got = E.lookup(texts, spark.createDataFrame(rows, "id long, kind string, t string"), 3)
+    best = {}
+    for r in got.collect():
+        best.setdefault(r["text_id"], []).append(r["exemplar_id"])
+    assert {k: sorted(v) for k, v in best.items()} == {1: [11, 13, 15], 2: [10, 12, 14], 3: [30]}
+
+
+def test_first_independent_set_equals_the_walk(spark):
+    rng = random.Random(11)
+    for n, m in ((1, 0), (40, 30), (60, 200)):
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)} if m else set()
+        places = list(range(n))
+        rng.shuffle(places)
+        kept = []
+        for i in sorted(range(n), key=places.__getitem__):
+            if not any((i, j) in edges or (j, i) in edges for j in kept):
+                kept.append(i)
+        nodes = spark.createDataFrame([(i, places[i]) for i in range(n)], "id long, place long")
+        got = E.first_independent(nodes, spark.createDataFrame([*edges, (0, 0)], "a long, b long"))
+        assert sorted(r["id"] for r in got.collect()) == sorted(kept)
+
+
+@pytest.mark.parametrize("most", [7, 200])
+def test_store_equals_the_sequential_loop(spark, most):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(30, 120))) for _ in range(12)]
+    rows = []
+    for i in range(70):
+        t = list(rng.choice(base))
+        for _ in range(rng.randint(0, 9)):
+            t[rng.randrange(len(t))] = rng.choice("xyz")
+        rows.append((i, rng.choice([8.9, 9.0, 9.3, 9.3, 10.0]), "".join(t)))
+    rows += [(100, 9.5, None), (101, 9.5, "")]
+    shots = []
+    for i, s, t in sorted((r for r in rows if r[1] >= 9 and r[2]), key=lambda r: (-r[1], r[0])):
+        if not any(difflib.SequenceMatcher(None, t, b).ratio() > 0.9 for _, _, b in shots):
+            shots.append((i, s, t))
+            shots = sorted(shots, key=lambda r: -r[1])[:most]
+    got = E.stored(spark.createDataFrame(rows, "id long, score double, t string"), most, block=20).orderBy("place").collect()
+    assert [r["id"] for r in got] == [s[0] for s in shots] and 0 < len(shots) < 70
+
+
+def test_normalised(spark):
+    row = spark.createDataFrame([(" A B\n\nC ",)], "t string").select(E.normalised(F.col("t"))).head()
+    assert row[0] == "a b c"
