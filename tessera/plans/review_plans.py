@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import mining as M
+from tessera.operators import pages as P
 from tessera.operators import review as V
 from tessera.operators import rules as U
 from tessera.operators import scoring as S
@@ -19,6 +20,7 @@ from tessera.plans.score_plans import _BANDS, SCORE_CTE, scored
 from tessera.sources.tables import table
 
 R = Registry()
+_PAGE_WORDS = 60
 
 
 @R.add(f"WITH {SCORE_CTE}, f AS (SELECT unnest(['src1', 'src2', 'none']) AS prefix) SELECT prefix, {_BANDS} FROM f LEFT JOIN sc ON starts_with(source, prefix) GROUP BY prefix")
@@ -199,3 +201,29 @@ def route_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = first_rows(rated, ["role"], order, 20)
     placed = best.withColumn("place", F.row_number().over(Window.partitionBy("role").orderBy(*order)))  # twenty rows each
     return placed.select("role", "model_id", "provider", "model", F.round("fitness", 6).alias("fitness"), "n_keys", "place")
+
+
+_TOKEN = P.TOKEN.replace("(?is)", "")
+_VOID = ", ".join(f"'{v}'" for v in P.VOID)
+# The tags of each page in turn, with the stack of those that are open.
+_NODES = rf"""WITH RECURSIVE b AS (SELECT page_id, CASE WHEN regexp_matches(html, '(?is)<body\b[^>]*>.*</body\s*>') THEN regexp_extract(html, '(?is)<body\b[^>]*>(.*)</body\s*>', 1) ELSE html END AS body FROM pages),
+k AS (SELECT page_id, regexp_extract_all(body, '(?is){_TOKEN}') AS ts FROM b),
+t AS (SELECT page_id, unnest(range(1, len(ts) + 1)) AS i, unnest(ts) AS tok FROM k),
+n AS (SELECT *, CASE WHEN regexp_matches(tok, '(?is)^<(script|style|!)') OR ends_with(tok, '/>') THEN '' ELSE lower(regexp_extract(tok, '(?s)^<([a-zA-Z][^\s/>]*)', 1)) END AS op, lower(regexp_extract(tok, '(?s)^</\s*([a-zA-Z][^\s/>]*)', 1)) AS cl FROM t),
+st AS (SELECT page_id, 0::BIGINT AS i, []::VARCHAR[] AS stack, 0::BIGINT AS node FROM k
+  UNION ALL SELECT n.page_id, n.i,
+    CASE WHEN op <> '' AND op NOT IN ({_VOID}) THEN list_append(stack, op) WHEN cl <> '' AND list_contains(stack, cl) THEN stack[:len(stack) - list_position(list_reverse(stack), cl)] ELSE stack END,
+    CASE WHEN len(stack) = 0 THEN st.node + 1 ELSE st.node END
+  FROM st JOIN n ON n.page_id = st.page_id AND n.i = st.i + 1),
+no AS (SELECT st.page_id, node, string_agg(tok, '' ORDER BY st.i) AS html, string_agg(CASE WHEN tok = '<' OR NOT starts_with(tok, '<') THEN tok ELSE '' END, '' ORDER BY st.i) AS said FROM st JOIN n ON st.page_id = n.page_id AND st.i = n.i GROUP BY ALL),
+wo AS (SELECT page_id, node, html, len(list_filter(regexp_split_to_array(said, '[\s\x0B\x1C-\x1F\x85\x{{A0}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+'), lambda w: w <> '')) AS w FROM no),
+pk AS (SELECT page_id, 0::BIGINT AS node, 0::BIGINT AS words, 0::BIGINT AS block FROM k
+  UNION ALL SELECT wo.page_id, wo.node, CASE WHEN wo.w > 0 AND pk.words > 0 AND pk.words + wo.w > {_PAGE_WORDS} THEN wo.w ELSE pk.words + wo.w END, pk.block + CASE WHEN wo.w > 0 AND pk.words > 0 AND pk.words + wo.w > {_PAGE_WORDS} THEN 1 ELSE 0 END
+  FROM pk JOIN wo ON wo.page_id = pk.page_id AND wo.node = pk.node + 1),
+bl AS (SELECT pk.page_id, block, sum(w)::BIGINT AS n_words, string_agg(html, '' ORDER BY pk.node) AS html FROM pk JOIN wo ON pk.page_id = wo.page_id AND pk.node = wo.node GROUP BY ALL HAVING regexp_matches(string_agg(html, ''), '\S'))"""
+
+
+@R.add(f"{_NODES} SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY block) - 1)::INT AS block, n_words, html FROM bl")
+def chunk_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as blocks of whole top-level nodes."""
+    return P.page_blocks(table(spark, sf_dir, "pages"), "page_id", most=_PAGE_WORDS)
