@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import json_repair as J
 from tessera.functions import text as T
 from tessera.operators.ordering import global_row_number
 from tessera.plans.registry import Registry
@@ -308,3 +309,23 @@ def name_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     paired = numbered.join(following, "place", "left").unionByName(without)
     norm = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " +", " "), "^ | $", "")
     return paired.select("item_id", norm.alias("norm"), F.levenshtein("head", "following").cast("long").alias("to_next"))
+
+
+_PUT = "regexp_replace(text, '[^a-zA-Z0-9 .,]', '', 'g')"
+
+
+@R.add(f"SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 8 < 6 THEN {_PUT} END AS text FROM conversations")
+def robust_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns planted in answers of eight shapes: plain, fenced, in typographic quotes, as Python writes
+    them with a loose comma, with other objects and braces around, with braces and quotes inside, cut off, and without an object."""
+    said = F.regexp_replace("text", "[^a-zA-Z0-9 .,]", "")
+    around = lambda a, b: F.concat(F.lit(a), said, F.lit(b))
+    shapes = [
+        around('{"text": "', '", "more": {"a": "}"}}'), around('```json\n{"text": "', '"}\n```'), around("{„text“: „", "“}"), around("{'done': True, 'text': '", "', }"),
+        around('{"a": 1} an open { and {"text": "', '"} so.'), around('{"note": "a \\"quote\\" and }{", "text": "', '"}'), around('{"text": "', ""), said,
+    ]
+    kind = (F.col("conv_id") + F.col("turn")) % 8
+    answer = shapes[-1]
+    for i, shape in enumerate(shapes[:-1]):
+        answer = F.when(kind == i, shape).otherwise(answer)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.get_json_object(J.robust_json(answer), "$.text").alias("text"))
