@@ -6,7 +6,7 @@ tables; nothing is changed in place, so a scan can be repeated."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Limits of the state machine.
@@ -50,3 +50,38 @@ def validated(n: Column, books: Column, average: Column, kind: Column) -> Column
 
 def promoted(average: Column, rollbacks: Column) -> Column:
     return F.when(rollbacks >= MAX_ROLLBACKS, "odbijen").when(average < STRONG_SCORE, "aktivan:strong").when(average < PROMOTE_SCORE, "aktivan").otherwise("odbijen")
+
+
+# Sightings: one row a pattern, book and chunk, from the newest scan that saw it
+
+
+def sightings(seen: DataFrame) -> DataFrame:
+    """Scans as one table: pattern, book, chunk, and kind, score, context and scan of the newest scan
+    that saw the pattern there, with the first and last scan. A scan that is repeated, whole or in
+    part, replaces itself, so it counts once. seen: pattern, kind, book, chunk, score, context, scan."""
+    newest = F.max_by(F.struct("kind", "score", "context"), "scan").alias("s")
+    made = seen.groupBy("pattern", "book", "chunk").agg(newest, F.min("scan").alias("first_scan"), F.max("scan").alias("scan"))
+    return made.select("pattern", "book", "chunk", "s.*", "first_scan", "scan")
+
+
+def patterns_of(rows: DataFrame) -> DataFrame:
+    """Sightings by pattern and kind: n, score_sum, n_books."""
+    return rows.groupBy("pattern", "kind").agg(F.count("*").alias("n"), F.sum(F.coalesce("score", F.lit(0.0))).alias("score_sum"), F.count_distinct("book").alias("n_books"))
+
+
+def unapplied(patterns: DataFrame, applied: DataFrame, base: DataFrame) -> DataFrame:
+    """Patterns that are neither applied yet nor in the base list."""
+    return patterns.join(applied.select("pattern"), "pattern", "left_anti").join(base.select("pattern"), "pattern", "left_anti")
+
+
+class SightingStore:
+    """Sightings on disk, a folder per scan: writing a scan again replaces it, whatever came of the first attempt."""
+
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+
+    def write(self, seen: DataFrame, scan: int) -> None:
+        seen.drop("scan").write.mode("overwrite").parquet(f"{self.path}/scan={scan}")
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return sightings(spark.read.parquet(self.path).withColumn("scan", F.col("scan").cast("long")))

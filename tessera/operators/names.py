@@ -27,3 +27,12 @@ def gender(clues: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
         F.count_if(F.col("clue") == "M").alias("clue_m"), F.count_if(F.col("clue") == "Ž").alias("clue_f"),
         F.min_by("verdict", F.when(F.col("verdict").isNotNull(), place)).alias("gender"),
     )
+
+
+def with_glossary(decided: DataFrame, glossary: DataFrame, keys: list[str]) -> DataFrame:
+    """Decisions, with those of a glossary (keys, gender) first: its names have its gender and clues
+    enough for it, whether or not a text tells of them. Other genders than 'M' and 'Ž' say nothing."""
+    given = glossary.where(F.col("gender").isin("M", "Ž")).groupBy(*keys).agg(F.min("gender").alias("given"))
+    joined = decided.join(given, keys, "full")
+    count = lambda c, g: F.greatest(F.coalesce(c, F.lit(0)), F.when(F.col("given") == g, MIN_CLUES).otherwise(0)).cast("long").alias(c)
+    return joined.select(*keys, count("clue_m", "M"), count("clue_f", "Ž"), F.coalesce("given", "gender").alias("gender"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import difflib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from tessera.functions import text as T
 from tessera.operators.rules import fixed_parts
 
 # A word with what tells the start of a sentence: an end mark and white space, or a line break.
@@ -42,18 +48,20 @@ def protected(text: Column, terms: list[str], change) -> Column:
     return F.array_join(F.zip_with(F.transform(F.split(text, fixed, -1), change), kept, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
-def gender_clues(docs: DataFrame, verbs: dict[str, str], titles: dict[str, str], text: str = "text") -> DataFrame:
-    """name and clue ('M' or 'Ž') of every `Name je verb`, `verb je Name` and `title Name`, with the
-    columns of docs. verbs: male to female forms; titles: title to gender."""
+def gender_clues(docs: DataFrame, verbs: dict[str, str], titles: dict[str, str], text: str = "text", stop: list[str] = ()) -> DataFrame:
+    """name, clue ('M' or 'Ž') and place (the order of a text's clues) of every `Name je verb`, `verb je
+    Name` and, whatever its case, `title Name`, with the columns of docs. verbs: male to female forms; titles: title to
+    gender; stop: capitalised words that are not names."""
     found = []
     for gender, forms in (("M", list(verbs)), ("Ž", list(verbs.values()))):
         either = "|".join(sorted(forms, key=lambda v: (-len(v), v)))
-        called = "|".join(sorted((t for t, g in titles.items() if g == gender), key=lambda t: (-len(t), t)))
+        called = "|".join(t.replace(".", r"\.") for t in sorted((t for t, g in titles.items() if g == gender), key=lambda t: (-len(t), t)))
         patterns = [rf"(?U)\b({NAME})\s+(?:se\s+)?je\s+(?:{either})\b", rf"(?U)\b(?:{either})\s+je\s+({NAME})\b"]
-        for pattern in patterns + ([rf"(?U)\b(?:{called})\s+({NAME})\b"] if called else []):
+        for pattern in patterns + ([rf"(?U)\b(?iu:{called})\s+({NAME})\b"] if called else []):
             names = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
             found.append(F.arrays_zip(names.alias("name"), F.array_repeat(F.lit(gender), F.size(names)).alias("clue")))
-    return docs.select(*(c for c in docs.columns if c != text), F.inline(F.concat(*found)))
+    rows = docs.select(*(c for c in docs.columns if c != text), F.posexplode(F.concat(*found)).alias("place", "_c")).select("*", "_c.*").drop("_c")
+    return rows.where(~F.col("name").isin(*stop)) if stop else rows
 
 
 # Parts of names of models that do not chat.
@@ -93,3 +101,20 @@ def living(models: DataFrame, dead: DataFrame) -> DataFrame:
     marked = models.join(dead.select("provider", "model", F.lit(True).alias("dead")).distinct(), ["provider", "model"], "left")
     alive = marked.groupBy("provider").agg(F.count_if(F.col("dead").isNull()).alias("alive"))
     return marked.join(alive, "provider").where(F.col("dead").isNull() | (F.col("alive") == 0)).drop("dead", "alive")
+
+
+# What a text must score, how many of its words may have changed, how alike it must still be.
+SKIP_SCORE, SKIP_CHANGE, SKIP_ALIKE, SKIP_HEAD = 8.5, 0.05, 0.92, 500
+
+
+def _ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in pairs:
+        yield pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def skips_corrector(score: Column, before: Column, after: Column) -> Column:
+    """Whether a text that an editor hardly touched needs no corrector: by score, changed words, and
+    likeness of the first characters, which is looked at for the few that are left. No text, no score: no."""
+    slight = (score >= SKIP_SCORE) & (F.length(before) > 0) & (F.length(after) > 0) & (T.word_change(before, after) <= SKIP_CHANGE)
+    head = lambda c: F.when(slight, F.left(c, F.lit(SKIP_HEAD)))
+    return F.coalesce(slight & (F.pandas_udf(_ratio, DoubleType())(head(before), head(after)) >= SKIP_ALIKE), F.lit(False))

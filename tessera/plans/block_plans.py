@@ -99,23 +99,6 @@ def decline_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("name", F.col("forms")["G"].alias("genitive"), F.col("forms")["I"].alias("instrumental"))
 
 
-_CLUES = """WITH cl AS (SELECT user_id % 40 AS name, ts, event_id, CASE WHEN event_id % 7 < 3 THEN 'M' ELSE 'Ž' END AS clue FROM events),
-k AS (SELECT *, count(*) FILTER (clue = 'M') OVER w AS m, count(*) FILTER (clue = 'Ž') OVER w AS f FROM cl WINDOW w AS (PARTITION BY name ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
-v AS (SELECT *, CASE WHEN m >= 3 AND m > f THEN 'M' WHEN f >= 3 AND f > m THEN 'Ž' END AS verdict FROM k)"""
-
-
-@R.add(f"{_CLUES} SELECT name, count(*) FILTER (clue = 'M') AS clue_m, count(*) FILTER (clue = 'Ž') AS clue_f, first(verdict ORDER BY ts, event_id) FILTER (verdict IS NOT NULL) AS gender FROM v GROUP BY name")
-def gender_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clues = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("name"), "ts", "event_id", F.when(F.col("event_id") % 7 < 3, "M").otherwise("Ž").alias("clue"))
-    return N.gender(clues, ["name"], ["ts", "event_id"])
-
-
-@R.add(f"{_CLUES}, g AS (SELECT name, first(verdict ORDER BY ts, event_id) FILTER (verdict IS NOT NULL) AS gender FROM v GROUP BY name) SELECT count(*) AS total, count(*) FILTER (gender = 'M') AS m, count(*) FILTER (gender = 'Ž') AS f, count(*) FILTER (gender IS NULL) AS unknown FROM g")
-def registry_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = F.col("gender")
-    return gender_decide(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(g == "M").alias("m"), F.count_if(g == "Ž").alias("f"), F.count_if(g.isNull()).alias("unknown"))
-
-
 @R.add("""
 WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zäöüßàâçéèêëîïôûùáíóúñ]+') AS w FROM documents WHERE length(text) > 200),
 g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) AS gram FROM t WHERE len(w) >= 3)

@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.forms import DOUBTFUL, FEMALE_FORMS, RIGHT, STOP_NAMES, WRONG_FORMS
 from tessera.operators import mining as M
+from tessera.operators import morphology as M2
+from tessera.operators import names as N
+from tessera.operators import paths
 from tessera.operators import pages as P
 from tessera.operators import review as V
 from tessera.operators import rules as U
 from tessera.operators import scoring as S
 from tessera.operators.ordering import first_rows
-from tessera.plans.block_plans import _CANDIDATES, _DECLINED, _NOUNS, _candidates, decline_names
+from tessera.plans.block_plans import _CANDIDATES, _DECLINED, _NOUNS, _candidates, _hits, decline_names
 from tessera.plans.fleet_plans import _CALLS, _KEYS, calls
 from tessera.plans.models import MODELS_CTE, SCORE_SQL, _OWNER, model_fitness, models, owner
 from tessera.plans.registry import Registry
 from tessera.plans.score_plans import _BANDS, SCORE_CTE, scored
 from tessera.sources.tables import table
+from tessera.sources.work import work_dir
 
 R = Registry()
 _PAGE_WORDS = 60
@@ -137,18 +142,105 @@ def _clue_sql() -> str:
     start, end, parts = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])", []
     for gender, forms in (("M", list(_VERBS)), ("Ž", list(_VERBS.values()))):
         either, called = "|".join(sorted(forms, key=lambda v: (-len(v), v))), "|".join(t for t, g in _TITLES.items() if g == gender)
-        for p in (rf"{start}({V.NAME})\s+(?:se\s+)?je\s+(?:{either}){end}", rf"{start}(?:{either})\s+je\s+({V.NAME}){end}", rf"{start}(?:{called})\s+({V.NAME}){end}"):
-            parts.append(f"SELECT source, unnest(regexp_extract_all(told, '{p}', 1)) AS name, '{gender}' AS clue FROM p")
+        for p in (rf"{start}({V.NAME})\s+(?:se\s+)?je\s+(?:{either}){end}", rf"{start}(?:{either})\s+je\s+({V.NAME}){end}", rf"{start}(?i:{called})\s+({V.NAME}){end}"):
+            parts.append(f"SELECT source, doc_id, {len(parts)} AS part, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS name, '{gender}' AS clue FROM (SELECT *, regexp_extract_all(told, '{p}', 1) AS x FROM p)")
     told = "CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TOLD)) + " END"
-    return f"p AS (SELECT source, text || ' ' || {told} AS told FROM documents), cl AS ({' UNION ALL '.join(parts)})"
+    stop = ", ".join(f"'{n}'" for n in STOP_NAMES)
+    return f"p AS (SELECT source, doc_id, text || ' ' || {told} AS told FROM documents), cl AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE name NOT IN ({stop}))"
+
+
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = F.element_at(F.array(*map(F.lit, _TOLD)), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("source", "doc_id", F.concat_ws(" ", "text", told).alias("text"))
+
+
+def _clues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.gender_clues(_told(spark, sf_dir), _VERBS, _TITLES, stop=STOP_NAMES)
 
 
 @R.add(f"WITH {_clue_sql()} SELECT source, name, count(*) FILTER (clue = 'M') AS clue_m, count(*) FILTER (clue = 'Ž') AS clue_f FROM cl GROUP BY ALL")
 def gender_clues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = F.element_at(F.array(*map(F.lit, _TOLD)), (F.col("doc_id") % 4 + 1).cast("int"))
-    docs = table(spark, sf_dir, "documents").select("source", F.concat_ws(" ", "text", told).alias("text"))
-    clues = V.gender_clues(docs, _VERBS, _TITLES)
-    return clues.groupBy("source", "name").agg(F.count_if(F.col("clue") == "M").alias("clue_m"), F.count_if(F.col("clue") == "Ž").alias("clue_f"))
+    return _clues(spark, sf_dir).groupBy("source", "name").agg(F.count_if(F.col("clue") == "M").alias("clue_m"), F.count_if(F.col("clue") == "Ž").alias("clue_f"))
+
+
+_DECIDED = """k AS (SELECT *, count(*) FILTER (clue = 'M') OVER w AS m, count(*) FILTER (clue = 'Ž') OVER w AS f FROM cl WINDOW w AS (PARTITION BY source, name ORDER BY doc_id, part, i ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT *, CASE WHEN m >= 3 AND m > f THEN 'M' WHEN f >= 3 AND f > m THEN 'Ž' END AS verdict FROM k),
+de AS (SELECT source, name, count(*) FILTER (clue = 'M') AS clue_m, count(*) FILTER (clue = 'Ž') AS clue_f, first(verdict ORDER BY doc_id, part, i) FILTER (verdict IS NOT NULL) AS gender FROM v GROUP BY ALL),
+gl AS (SELECT source, unnest(['Iva', 'Marko']) AS name, CASE WHEN source < 'src12' THEN 'Ž' ELSE '?' END AS given FROM (SELECT DISTINCT source FROM documents)),
+ge AS (SELECT source, name, greatest(coalesce(clue_m, 0), CASE WHEN g = 'M' THEN 3 ELSE 0 END)::BIGINT AS clue_m, greatest(coalesce(clue_f, 0), CASE WHEN g = 'Ž' THEN 3 ELSE 0 END)::BIGINT AS clue_f, coalesce(g, gender) AS gender
+  FROM de FULL JOIN (SELECT source, name, given AS g FROM gl WHERE given IN ('M', 'Ž')) USING (source, name))"""
+
+
+@R.add(f"WITH {_clue_sql()}, {_DECIDED} SELECT * FROM ge")
+def gender_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gender of every name of a book: the glossary's, else by its clues in order, once decided for good."""
+    clues = _clues(spark, sf_dir)
+    decided = N.gender(clues, ["source", "name"], ["doc_id", "place"])
+    names = F.explode(F.array(F.lit("Iva"), F.lit("Marko"))).alias("name")
+    glossary = table(spark, sf_dir, "documents").select("source").distinct().select("source", names, F.when(F.col("source") < "src12", "Ž").otherwise("?").alias("gender"))
+    return N.with_glossary(decided, glossary, ["source", "name"])
+
+
+@R.add(f"WITH {_clue_sql()}, {_DECIDED} SELECT count(*) AS total, count(*) FILTER (gender = 'M') AS m, count(*) FILTER (gender = 'Ž') AS f, count(*) FILTER (gender IS NULL) AS unknown FROM ge")
+def registry_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = F.col("gender")
+    return gender_decide(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(g == "M").alias("m"), F.count_if(g == "Ž").alias("f"), F.count_if(g.isNull()).alias("unknown"))
+
+
+_WS = r"[\p{L}\p{M}\p{N}_]+(?:-[\p{L}\p{M}\p{N}_]+)*"
+_PAIRS = ", ".join(f"('{m}', '{f}')" for m, f in FEMALE_FORMS.items())
+_JOINED = "array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce({}, '')), '')"
+
+
+@R.add(rf"""WITH {_clue_sql()}, {_DECIDED}, fo AS (SELECT map_from_entries(list((m, f))) AS fem, map_from_entries(list((f, m))) AS mal FROM (VALUES {_PAIRS}) AS t(m, f)),
+w AS (SELECT source, doc_id, regexp_extract_all(told, '{_WS}') AS ws, regexp_split_to_array(told, '{_WS}') AS gaps FROM p),
+i AS (SELECT source, doc_id, ws, gaps, unnest(range(1, len(ws) + 1)) AS i FROM w),
+c AS (SELECT source, doc_id, i, lower(ws[i]) AS form, ws[i] AS old,
+  CASE WHEN i > 2 AND lower(ws[i-1]) = 'je' AND regexp_full_match(gaps[i], '\s+') AND regexp_full_match(gaps[i-1], '\s+') THEN CASE WHEN lower(ws[i-2]) <> 'se' THEN ws[i-2] WHEN i > 3 AND regexp_full_match(gaps[i-2], '\s+') THEN ws[i-3] END END AS before,
+  CASE WHEN lower(ws[i+1]) = 'je' AND regexp_full_match(gaps[i+1], '\s+') AND regexp_full_match(gaps[i+2], '\s+') THEN ws[i+2] END AS after FROM i),
+g AS (SELECT c.*, coalesce(b.gender, a.gender) AS gender FROM c LEFT JOIN ge b ON b.source = c.source AND lower(b.name) = lower(c.before) LEFT JOIN ge a ON a.source = c.source AND lower(a.name) = lower(c.after) WHERE before IS NOT NULL OR after IS NOT NULL),
+n AS (SELECT source, doc_id, i, CASE WHEN old = upper(old) THEN upper(x) WHEN left(old, 1) = upper(left(old, 1)) THEN upper(left(x, 1)) || substr(x, 2) ELSE x END AS new FROM (SELECT g.*, CASE gender WHEN 'Ž' THEN fem[form] WHEN 'M' THEN mal[form] END AS x FROM g, fo) WHERE x IS NOT NULL),
+m AS (SELECT doc_id, map_from_entries(list((i, new))) AS ch, count(*) AS k FROM n GROUP BY doc_id)
+SELECT doc_id, {_JOINED.format("coalesce(ch[i], ws[i])")} AS text, coalesce(k, 0) AS n_corrected FROM w LEFT JOIN m USING (doc_id)""")
+def gender_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Participles in the gender that their book's registry has for the name that they tell of."""
+    made = M2.gender_corrected(_told(spark, sf_dir), "doc_id", "source", gender_decide(spark, sf_dir).select(F.col("source").alias("book"), "name", "gender"))
+    return made.select("doc_id", "text", "n_corrected")
+
+
+_ODD = ["Hodavao je, i Voljevala; poznavao je.", "On je radivao. UZDISNUO je čitavao", "x", ""]
+_ODD_SQL = "text || chr(10) || CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_ODD)) + " END"
+
+
+def _odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = F.element_at(F.array(*map(F.lit, _ODD)), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n"), more).alias("text"))
+
+
+def _doubtful_sql() -> str:
+    letter = r"[\p{L}\p{M}\p{N}_-]"
+    right = ", ".join(f"'{w}'" for w in RIGHT)
+    parts = [f"SELECT doc_id, i, f AS form, {i}::INT AS pattern FROM u WHERE regexp_full_match(f, '(?i){p.replace(chr(92) + 'w', letter)}')" for i, p in enumerate(DOUBTFUL)]
+    return rf"""WITH d AS (SELECT doc_id, {_ODD_SQL} AS text FROM documents), w AS (SELECT doc_id, text, regexp_extract_all(text, '{_WS}') AS ws, regexp_split_to_array(text, '{_WS}') AS gaps FROM d),
+u AS (SELECT doc_id, unnest(ws) AS f, unnest(range(1, len(ws) + 1)) AS i FROM w), x AS ({" UNION ALL ".join(parts)}),
+h AS (SELECT doc_id, text, pattern, form, (length(array_to_string(gaps[1:i], '')) + length(array_to_string(ws[1:i - 1], '')))::INT AS position FROM x JOIN w USING (doc_id) WHERE lower(form) NOT IN ({right}))
+SELECT doc_id, pattern, form, position, replace(substr(text, greatest(position - 40, 0) + 1, least(position, 40) + length(form) + 40), chr(10), ' ') AS context FROM h"""
+
+
+@R.add(_doubtful_sql())
+def morph_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubtful forms with where they stand and what is around them."""
+    return M2.doubtful_forms(_odd(spark, sf_dir), "doc_id")
+
+
+@R.add(rf"""WITH fo AS (SELECT map_from_entries(list((m, f))) AS fix FROM (VALUES {", ".join(f"('{m}', '{f}')" for m, f in WRONG_FORMS.items())}) AS t(m, f)), d AS (SELECT doc_id, {_ODD_SQL} AS text FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(text, '{_WS}') AS ws, regexp_split_to_array(text, '{_WS}') AS gaps FROM d),
+n AS (SELECT doc_id, ws, gaps, list_transform(ws, lambda x: coalesce(CASE WHEN length(x) > 1 AND x = upper(x) THEN upper(fix[lower(x)]) WHEN left(x, 1) = upper(left(x, 1)) THEN upper(left(fix[lower(x)], 1)) || substr(fix[lower(x)], 2) ELSE fix[lower(x)] END, x)) AS ns FROM w, fo)
+SELECT doc_id, {_JOINED.format("ns[i]")} AS text, len(list_filter(range(1, len(ws) + 1), lambda i: ws[i] <> ns[i]))::BIGINT AS n_changes FROM n""")
+def morph_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms that do not exist, replaced."""
+    made = _odd(spark, sf_dir).select("doc_id", M2.mended_forms(F.col("text")).alias("m"))
+    return made.select("doc_id", "m.text", F.size("m.changes").cast("long").alias("n_changes"))
 
 
 def _chat_sql() -> str:
@@ -227,3 +319,49 @@ bl AS (SELECT pk.page_id, block, sum(w)::BIGINT AS n_words, string_agg(html, ''
 def chunk_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as blocks of whole top-level nodes."""
     return P.page_blocks(table(spark, sf_dir, "pages"), "page_id", most=_PAGE_WORDS)
+
+
+@R.add(None)
+def skip_corrector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose edited version needs no corrector; every third is untouched, every third has one word
+    changed in forty, and the rest many."""
+    docs = scored(spark, sf_dir)
+    few, many = F.regexp_replace("text", r"((?:\S+\s+){39})\S+", "$1novo"), F.regexp_replace("text", "[aeiou]n", "x")
+    after = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, few).otherwise(many)
+    edited = docs.select("doc_id", "score", F.col("text").alias("before"), after.alias("after"))
+    return edited.select("doc_id", V.skips_corrector(F.col("score"), F.col("before"), F.col("after")).alias("skips"))
+
+
+_STEMS = """st AS (SELECT source AS folder, doc_id, 'c' || (doc_id % 7) || '.html_blok_' || doc_id AS stem FROM documents),
+fi AS (SELECT DISTINCT folder, unnest(CASE doc_id % 5 WHEN 0 THEN [stem] WHEN 1 THEN [replace(stem, '.html', ''), stem || 'x'] WHEN 2 THEN ['aaa_blok_' || doc_id, 'King_c' || (doc_id % 7) || '_v2_blok_' || doc_id, replace(stem, '.html', CASE WHEN doc_id % 2 = 0 THEN '' ELSE '_' END)] WHEN 3 THEN ['zz_blok_' || doc_id, 'other_blok_' || doc_id] ELSE ['c1_blok_x'] END) AS name FROM st)"""
+
+
+@R.add(f"""WITH {_STEMS}, j AS (SELECT st.folder, stem, name, CASE WHEN name = stem THEN 1 WHEN name = replace(stem, '.html', '') THEN 2
+    WHEN contains(split_part(name, '_blok_', 1), split_part(stem, '.', 1)) THEN 5 ELSE 6 END AS rank
+  FROM st JOIN fi ON st.folder = fi.folder AND regexp_extract(stem, '_blok_([0-9]+)$', 1) = regexp_extract(name, '_blok_([0-9]+)$', 1))
+SELECT st.folder, st.stem, b.name, b.rank FROM st LEFT JOIN (SELECT folder, stem, arg_min(name, (rank, name)) AS name, min(rank)::INT AS rank FROM j GROUP BY ALL) b ON st.folder = b.folder AND st.stem = b.stem""")
+def chunk_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file of each block: of its own name, stripped of the page's ending, alike in name and number, or of the same number."""
+    i = F.col("doc_id")
+    number, page = i.cast("string"), F.concat(F.lit("c"), (i % 7).cast("string"))
+    stems = table(spark, sf_dir, "documents").select(F.col("source").alias("folder"), "doc_id", F.concat(page, F.lit(".html_blok_"), number).alias("stem"))
+    plain = lambda by: F.replace("stem", F.lit(".html"), by)
+    names = F.when(i % 5 == 0, F.array("stem")).when(i % 5 == 1, F.array(plain(F.lit("")), F.concat("stem", F.lit("x"))))
+    names = names.when(i % 5 == 2, F.array(F.concat(F.lit("aaa_blok_"), number), F.concat(F.lit("King_"), page, F.lit("_v2_blok_"), number), plain(F.when(i % 2 == 0, "").otherwise("_"))))
+    names = names.when(i % 5 == 3, F.array(F.concat(F.lit("zz_blok_"), number), F.concat(F.lit("other_blok_"), number))).otherwise(F.array(F.lit("c1_blok_x")))
+    return paths.resolved(stems, stems.select("folder", F.explode(names).alias("name")))
+
+
+@R.add(f"{_CANDIDATES}, sn AS (SELECT DISTINCT pattern, kind, h.source AS book, h.doc_id AS chunk, score FROM h JOIN sc ON h.doc_id = sc.doc_id WHERE score >= 4.0) SELECT pattern, kind, count(*) AS n, round(sum(score), 6) AS score_sum, count(DISTINCT book) AS n_books FROM sn WHERE pattern NOT IN ('clown', 'der die') GROUP BY ALL")
+def retro_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns by what three scans saw, the second a part and the third a repetition of the first: each place once.
+    What is applied already, or in the base list, goes."""
+    seen = _hits(spark, sf_dir).join(scored(spark, sf_dir).select("doc_id", "score"), "doc_id").where("score >= 4.0")
+    seen = seen.select("pattern", "kind", F.col("source").alias("book"), F.col("doc_id").alias("chunk"), "score", "context")
+    store = M.SightingStore(work_dir(spark, "sightings"))
+    store.write(seen, 1)
+    store.write(seen.where("chunk % 2 = 0"), 2)
+    store.write(seen, 1)
+    rules = lambda *names: spark.createDataFrame([(n,) for n in names], "pattern string")
+    found = M.unapplied(M.patterns_of(store.read(spark)), rules("clown"), rules("der die"))
+    return found.withColumn("score_sum", F.round("score_sum", 6))

@@ -28,7 +28,7 @@ def test_protected_terms_keep_their_letters(spark):
 
 def test_gender_clues(spark):
     rows = spark.createDataFrame([(1, "Ana se je smijala. smijao je Ivo! gospodin Kos; Ana je smijalac"), (2, None)], "i int, text string")
-    got = sorted(tuple(r) for r in V.gender_clues(rows, {"smijao": "smijala"}, {"gospodin": "M"}).collect())
+    got = sorted((r["i"], r["name"], r["clue"]) for r in V.gender_clues(rows, {"smijao": "smijala"}, {"gospodin": "M"}).collect())
     assert got == [(1, "Ana", "Ž"), (1, "Ivo", "M"), (1, "Kos", "M")]
 
 
