@@ -411,3 +411,21 @@ def test_pipeline_stages(spark, tmp_path):
         ids = now
     assert 13 not in ids and len(ids) > 20
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids)
+
+
+@pytest.mark.parametrize("edits", [14, 20, 24])
+def test_copies_behind_a_common_block_are_found_down_to_the_threshold(spark, edits):
+    # 92 of 120 words are one block that all texts quote; 24 replaced words are a similarity of just 0.8.
+    rng = random.Random(edits)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    common, rows, n = [word() for _ in range(92)], [], 120
+    for i in range(n):
+        own = [word() for _ in range(28)]
+        text = own[:14] + common + own[14:]
+        copy = list(text)
+        for at in rng.sample(range(120), edits):
+            copy[at] = word()
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.classify(frame(spark, rows)).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(n)) >= (0.85 if edits == 24 else 0.93) * n
+    assert len(set(got.values())) >= n  # and no two originals are one class
