@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import blocks as B
 from tessera.operators import mining as M
 from tessera.operators import names as N
+from tessera.operators.glossary import contained
 from tessera.operators.ordering import first_rows
 from tessera.plans.registry import Registry
 from tessera.plans.score_plans import SCORE_CTE, scored
@@ -187,25 +188,14 @@ def exemplars_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_rows(latest, ["lang"], [F.desc("quality"), F.asc("doc_id")], 20).select("lang", "doc_id")
 
 
-LISTED = 10_000
-GRAM = 8
-
-
-@R.add("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(left(b.text, 30)))")
+@R.add("""WITH t AS (SELECT item_id, text AS term FROM benchmark UNION ALL SELECT 1000000 + item_id, left(text, 4 + (item_id % 9)::INT) FROM benchmark)
+SELECT item_id, doc_id FROM t JOIN documents d ON contains(lower(d.text), lower(term)) WHERE length(term) > 0""")
 def relevant_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms contained in texts: a small glossary becomes literals; beyond, terms meet the texts that
-    have their first GRAM characters, and shorter terms meet all texts. The results are the same."""
-    terms = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.left("text", F.lit(30))).alias("term"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
-    if terms.count() > LISTED:
-        starts = F.sequence(F.lit(1), F.length("low") - (GRAM - 1))
-        grams = docs.where(F.length("low") >= GRAM).select("doc_id", "low", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("low"), i, F.lit(GRAM))))).alias("gram"))
-        long = terms.where(F.length("term") >= GRAM).withColumn("gram", F.left("term", F.lit(GRAM))).join(grams, "gram")
-        short = terms.where(F.length("term") < GRAM).join(docs, F.contains("low", "term"))
-        return long.where("contains(low, term)").select("item_id", "doc_id").union(short.select("item_id", "doc_id"))
-    listed = [F.when(F.col("low").contains(r["term"]), F.lit(r["item_id"]).cast("long")) for r in terms.collect()]
-    found = docs.select("doc_id", F.explode(F.array_compact(F.array(*listed))).alias("item_id"))
-    return found.select("item_id", "doc_id")
+    """Terms that texts contain: whole benchmark texts, and their first words."""
+    items = table(spark, sf_dir, "benchmark")
+    short = items.select((F.lit(1000000) + F.col("item_id")).alias("term_id"), F.left("text", (F.lit(4) + F.col("item_id") % 9).cast("int")).alias("term"))
+    terms = items.select(F.col("item_id").alias("term_id"), F.col("text").alias("term")).union(short)
+    return contained(table(spark, sf_dir, "documents").select("doc_id", "text"), terms).select(F.col("term_id").alias("item_id"), "doc_id")
 
 
 @R.add("SELECT lang, list_sort(list_distinct(list_concat(list(DISTINCT source) FILTER (doc_id % 2 = 0), list(DISTINCT source) FILTER (doc_id % 2 = 1)))) AS merged FROM documents GROUP BY lang")

@@ -114,21 +114,6 @@ def _with_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).join(labels, "doc_id", "left").withColumn("judged", judged)
 
 
-@R.add(f"""WITH {SCORE_CTE} SELECT s.doc_id, greatest(1.0, least(10.0, (CASE WHEN length(text) < 20 THEN 10.0 WHEN score <= 2 OR {_JUDGED} IS NULL THEN score
-  ELSE round(.25 * score + .75 * {_JUDGED}, 1) END) - CASE WHEN s.doc_id % 10 = 0 THEN 2.0 WHEN s.doc_id % 10 = 1 THEN .8 ELSE 0 END))::DOUBLE AS composite
-FROM sc s LEFT JOIN labels l ON s.doc_id = l.doc_id""")
-def composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    likeness = F.when(F.col("doc_id") % 10 == 0, 0.98).when(F.col("doc_id") % 10 == 1, 0.95).otherwise(0.5)
-    out = S.composite_score(F.col("score"), F.col("judged"), F.length("text") < 20, S.unchanged_penalty(likeness))
-    return _with_judge(spark, sf_dir).select("doc_id", out.alias("composite"))
-
-
-@R.add(f"""WITH {SCORE_CTE}, p AS (SELECT doc_id, score, (length(text) % 100) / 100.0 AS ratio FROM sc)
-SELECT doc_id, least(score, CASE WHEN ratio < .60 THEN 4.8 WHEN ratio < .72 THEN 6.0 WHEN ratio < .82 THEN 7.0 ELSE 10.0 END)::DOUBLE AS capped FROM p""")
-def score_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("doc_id", S.loss_cap(F.col("score"), (F.length("text") % 100) / 100).alias("capped"))
-
-
 def _count(column: str, patterns: list[str]) -> str:
     return "(" + " + ".join(f"CASE WHEN {_hit(column, p)} THEN 1 ELSE 0 END" for p in patterns) + ")"
 
@@ -196,6 +181,25 @@ def bigram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _beside(docs, "x", "y").select("doc_id", T.jaccard(F.col("x"), F.col("y")).alias("likeness"))
 
 
+@R.add(f"""WITH {SCORE_CTE}, li AS ({R.oracles["bigram_jaccard"]}) SELECT s.doc_id, greatest(1.0, least(10.0, (CASE WHEN length(text) < 20 THEN 10.0 WHEN score <= 2 OR {_JUDGED} IS NULL THEN score
+  ELSE round(.25 * score + .75 * {_JUDGED}, 1) END) - CASE WHEN likeness > .97 THEN 2.0 WHEN likeness > .9 THEN .8 ELSE 0 END))::DOUBLE AS composite
+FROM sc s LEFT JOIN labels l ON s.doc_id = l.doc_id LEFT JOIN li ON s.doc_id = li.doc_id""")
+def composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heuristic and judged score, less for a text that is all but the next one's of its source."""
+    rows = _with_judge(spark, sf_dir).join(bigram_jaccard(spark, sf_dir), "doc_id", "left")
+    penalty = F.coalesce(S.unchanged_penalty(F.col("likeness")), F.lit(0.0))
+    return rows.select("doc_id", S.composite_score(F.col("score"), F.col("judged"), F.length("text") < 20, penalty).alias("composite"))
+
+
+@R.add(f"""WITH {SCORE_CTE}, p AS (SELECT doc_id, score, length(text)::DOUBLE / lag(length(text)) OVER (PARTITION BY source ORDER BY doc_id) AS ratio FROM sc)
+SELECT doc_id, least(score, CASE WHEN ratio < .60 THEN 4.8 WHEN ratio < .72 THEN 6.0 WHEN ratio < .82 THEN 7.0 ELSE 10.0 END)::DOUBLE AS capped FROM p""")
+def score_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores capped by what a text has lost against the one before it in its source."""
+    rows = scored(spark, sf_dir).select("doc_id", "source", "score", F.length("text").alias("n"))
+    before = F.lag("n").over(Window.partitionBy("source").orderBy("doc_id"))
+    return rows.withColumn("ratio", F.try_divide(F.col("n").cast("double"), before)).select("doc_id", S.loss_cap(F.col("score"), F.col("ratio")).alias("capped"))
+
+
 _SET = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}\p{{M}}_]+'))"
 
 

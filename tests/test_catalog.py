@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tessera.plans import catalog
@@ -14,17 +16,16 @@ def test_query_without_sql_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF_DIR).count() > 0
 
 
-def test_large_glossary_matches_sql(spark, tmp_path, monkeypatch):
-    from tessera.plans import block_plans
+def test_glossaries_equal_plain_search(spark):
+    from tessera.operators.glossary import contained
 
-    monkeypatch.setattr(block_plans, "LISTED", 0)
-    spark.createDataFrame([(1, "at the old stone house by the river bank"), (2, "(note) on it"), (3, "abc"), (4, None)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/b")
-    spark.createDataFrame([(1, "That the Old Stone House by the river bank"), (2, "a (note) on it, xabcx"), (3, "ab"), (4, None)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
-    for name, folder in (("benchmark", "b"), ("documents", "d")):
-        next((tmp_path / folder).glob("*.parquet")).rename(tmp_path / f"{name}.parquet")
-    compare(spark, catalog.QUERIES["relevant_glossary"], catalog.ORACLES["relevant_glossary"], str(tmp_path))
-    found = catalog.QUERIES["relevant_glossary"](spark, str(tmp_path)).collect()
-    assert sorted((r.item_id, r.doc_id) for r in found) == [(1, 1), (2, 2), (3, 2)]
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abAB ž") for _ in range(n))
+    docs = [(i, word(rng.randint(0, 60))) for i in range(60)] + [(100, None), (101, ""), (102, "x" * 5000 + "Kuća")]
+    terms = [(i, word(rng.choice([1, 2, 3, 5, 8, 12]))) for i in range(40)] + [(50, None), (51, ""), (52, "KUĆA"), (53, docs[3][1] or "a"), (54, "x" * 40)]
+    found = contained(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(terms, "term_id int, term string"))
+    want = sorted((d, t) for d, x in docs for t, y in terms if x is not None and y and y.lower() in x.lower())
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 100
 
 
 def test_name_distance_of_ids_with_gaps_matches_sql(spark, tmp_path):
