@@ -180,11 +180,11 @@ def sample_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_rows(docs, ["source"], ["h", "doc_id"], 20).drop("h")
 
 
-@R.add("""WITH e AS (SELECT lang, doc_id, text, quality, row_number() OVER (PARTITION BY lang, left(text, 60) ORDER BY d.doc_id DESC) AS k FROM documents d JOIN labels l USING (doc_id)),
+@R.add("""WITH e AS (SELECT lang, doc_id, text, quality, row_number() OVER (PARTITION BY lang, text ORDER BY d.doc_id DESC) AS k FROM documents d JOIN labels l USING (doc_id)),
 t AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY quality DESC, doc_id) AS r FROM e WHERE k = 1) SELECT lang, doc_id FROM t WHERE r <= 20""")
 def exemplars_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").withColumn("start", F.left("text", F.lit(60)))
-    latest = docs.groupBy("lang", "start").agg(F.max(F.struct("doc_id", "quality")).alias("e")).select("lang", "e.*")
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").withColumn("same", F.md5("text"))
+    latest = docs.groupBy("lang", "same").agg(F.max(F.struct("doc_id", "quality")).alias("e")).select("lang", "e.*")
     return first_rows(latest, ["lang"], [F.desc("quality"), F.asc("doc_id")], 20).select("lang", "doc_id")
 
 

@@ -134,9 +134,9 @@ def duplicate_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(doubled, r"(?s)^([^\n]{3,200})\s{1,2}\1", "$1").alias("text"))
 
 
-@R.add(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\bTHE\b', 'LE', 'g'), '\bthe\b', 'le', 'g'), '\bThe\b', 'Le', 'g') AS text FROM documents WHERE lang = 'en'""")
+@R.add(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\bTHE\b', 'LE', 'g'), '\bthe\b', 'le', 'g'), '\bThe\b', 'Le', 'g') AS text FROM documents""")
 def name_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", P.renamed(F.col("text"), [("The", "Le")]).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", P.renamed(F.col("text"), [("The", "Le")]).alias("text"))
 
 
 @R.add(r"""SELECT page_id, regexp_matches(lower(url), 'cover|title|copyright|toc|index|about|dedication|glossary|notes|promo') AS paratext, regexp_matches(url, '^https?://(www|m)\.') AS listed FROM pages""")

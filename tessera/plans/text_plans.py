@@ -277,13 +277,12 @@ def typography(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.typography(F.col("text")).alias("text"))
 
 
-_RULES = [("\\bthe\\b", "THE"), ("tion(\\w)", "cion$1"), ("\\bund\\b", "i"), ("\\bde la\\b", "iz")]
+_RULES = [("the ", "THE "), ("tion([a-z])", "cion$1"), (" und ", " i "), (" de la ", " iz ")]
 
 
-@R.add(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\bthe\b', 'THE', 'gi'), 'tion([a-z])', 'cion\1', 'gi'), '\bund\b', 'i', 'gi'), '\bde la\b', 'iz', 'gi') AS text FROM documents WHERE lang = 'en'""")
+@R.add(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'the ', 'THE ', 'gi'), 'tion([a-z])', 'cion\1', 'gi'), ' und ', ' i ', 'gi'), ' de la ', ' iz ', 'gi') AS text FROM documents""")
 def rule_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [(p.replace("\\w", "[a-z]"), r) for p, r in _RULES]
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.rewrite(F.col("text"), rules).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.rewrite(F.col("text"), _RULES).alias("text"))
 
 
 @R.add("SELECT doc_id, replace(text, 'tion', 'cija') AS text, ((length(text) - length(replace(text, 'tion', ''))) / 4)::BIGINT AS n FROM documents")
@@ -299,10 +298,10 @@ def paragraph_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(r"""SELECT item_id, regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' +', ' ', 'g'), '^ | $', '', 'g') AS norm,
-  levenshtein(left(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 40), left(regexp_replace(lead(text) OVER (ORDER BY item_id), '[^a-zA-Z ]', '', 'g'), 40))::BIGINT AS to_next FROM benchmark""")
+  levenshtein(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), regexp_replace(lead(text) OVER (ORDER BY item_id), '[^a-zA-Z ]', '', 'g'))::BIGINT AS to_next FROM benchmark""")
 def name_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Neighbours by id, gaps or not: joined on row numbers rather than by one window over everything.
-    items = table(spark, sf_dir, "benchmark").withColumn("head", F.left(F.regexp_replace("text", "[^a-zA-Z ]", ""), F.lit(40)))
+    items = table(spark, sf_dir, "benchmark").withColumn("head", F.regexp_replace("text", "[^a-zA-Z ]", ""))
     numbered = global_row_number(items.where("item_id IS NOT NULL"), "item_id", "place")
     following = numbered.select((F.col("place") - 1).alias("place"), F.col("head").alias("following"))
     without = items.where("item_id IS NULL").withColumns({"place": F.lit(None).cast("long"), "following": F.lit(None).cast("string")})
