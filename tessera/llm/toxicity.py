@@ -10,9 +10,9 @@ unlabelled texts, which are a mix of both kinds, with the risk estimator
 where the class prior is the share of toxic among the labelled training rows. When the second term
 is negative, the step goes the other way (the non-negative correction). The logistic loss and Adam
 are plain numpy on the driver, over a bounded sample: at most MAX_POSITIVE positive texts and
-MAX_UNLABELLED of all training rows, those of least id hash; one text per id, and of texts with more
-than MAX_FEATURES words those of least hash. That is 4 bytes a word, 262 MB at most. Everything is
-scored, by all words.
+MAX_UNLABELLED of all training rows, those of least id hash, one text per id. Their words are counted
+where they are, and only those that get weights come to the driver, however long the texts.
+Everything is scored, by all words.
 
 Labels come from training rows only; lang, source and doc_id are no features. Null and empty texts
 have no words and get the score of the intercept. Repeated rows get equal scores. With no positive
@@ -29,13 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._bytes import blocks, mix, string_parts, word_hashes, word_spans
-from tessera.llm._spark import fold, text_of
+from tessera.llm._bytes import blocks, string_parts, word_hashes, word_spans
+from tessera.llm._spark import discard, fold, materialise, text_of
 
 BITS = 18
 MAX_POSITIVE = 4000
 MAX_UNLABELLED = 12000
-MAX_FEATURES = 4096
 MIN_GAIN = 10.0
 FOLDS, HELD_OUT = 4, 2
 _CUT = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
@@ -62,11 +61,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.values(rows, words, n), -40, 40)))
 
 
-def gains(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Likelihood-ratio statistic of each word for being more common in positive texts; else 0."""
-    p, u = len(positive), len(unlabelled)
-    in_p = np.bincount(np.concatenate(positive), minlength=1 << BITS)
-    in_u = np.bincount(np.concatenate(unlabelled), minlength=1 << BITS)
+def gains(in_p: np.ndarray, in_u: np.ndarray, p: int, u: int) -> np.ndarray:
+    """Likelihood-ratio statistic of each word for being more common in positive texts, else 0, from
+    the numbers of positive and unlabelled texts that have it, of p and u texts."""
 
     def likelihood(k: np.ndarray, n: int) -> np.ndarray:
         share = np.clip(k / n, 1e-12, 1 - 1e-12)
@@ -81,7 +78,8 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     model = Model(np.zeros(1 << BITS), float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3))))
     if not positive or not unlabelled:
         return model
-    useful = gains(positive, unlabelled) > MIN_GAIN
+    in_p, in_u = (np.bincount(np.concatenate(texts), minlength=1 << BITS) for texts in (positive, unlabelled))
+    useful = gains(in_p, in_u, len(positive), len(unlabelled)) > MIN_GAIN
     positive, unlabelled = ([x[useful[x]] for x in texts] for texts in (positive, unlabelled))
     rng = np.random.default_rng(seed)
     share = len(positive) / (len(positive) + len(unlabelled))
@@ -119,13 +117,8 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return model
 
 
-def _collect(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
-    """Feature sets of one document for each of the given ids, of at most MAX_FEATURES words each."""
-
-    def some(words: np.ndarray) -> bytes:
-        if len(words) > MAX_FEATURES:
-            words = np.sort(words[np.argsort(mix(words.astype(np.uint64), 3), kind="stable")[:MAX_FEATURES]])
-        return words.astype("<u4").tobytes()
+def _sampled(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and all distinct words of one document for each of the given ids, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,12 +126,41 @@ def _collect(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
             for a, b in blocks(offsets):
                 rows, words = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 cuts = np.searchsorted(rows, np.arange(b - a + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array([some(words[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["doc_id", "words"]
-                )
+                held = [words[i:j].astype("<u4").tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(held, pa.binary())], names=["doc_id", "words"])
 
     wanted = text_of(docs).join(F.broadcast(ids), "doc_id", "left_semi")  # the ids are a bounded sample
-    got = wanted.mapInArrow(run, "doc_id long, words binary").groupBy("doc_id").agg(F.min("words").alias("words")).collect()
+    return materialise(wanted.mapInArrow(run, "doc_id long, words binary").groupBy("doc_id").agg(F.min("words").alias("words")), "sample")
+
+
+def _counts(sample: DataFrame) -> np.ndarray:
+    """How many texts have each word; at most 2**BITS numbers come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            for words in batch.column("words"):
+                total[np.frombuffer(words.as_buffer(), "<u4")] += 1
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["word", "n"])
+
+    out = np.zeros(1 << BITS, np.int64)
+    for r in sample.select("words").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+        out[r["word"]] = r["n"]
+    return out
+
+
+def _useful_words(sample: DataFrame, useful: np.ndarray) -> list[np.ndarray]:
+    """The useful words of every text, by id; the other words stay where they are."""
+    packed = np.packbits(useful).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        for batch in batches:
+            each = [np.frombuffer(w.as_buffer(), "<u4") for w in batch.column("words")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([w[known[w]].tobytes() for w in each], pa.binary())], names=["doc_id", "words"])
+
+    got = sample.select("doc_id", "words").mapInArrow(run, "doc_id long, words binary").collect()
     return [np.frombuffer(r["words"], dtype="<u4").astype(np.int64) for r in sorted(got, key=lambda r: r["doc_id"])]
 
 
@@ -151,9 +173,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     prior = (toxic + 1) / (n + 2)
     sample = lambda df, k: spark.createDataFrame(df.orderBy(order).limit(k).collect(), "doc_id long")
     positives = sample(known.where("toxic = 1").select("doc_id").distinct(), max_positive)
-    everyone = docs.where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
+    everyone = docs.where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     unlabelled = sample(everyone, max_unlabelled)
-    return train(_collect(docs, positives), _collect(docs, unlabelled), prior, seed)
+    kept = [_sampled(docs, ids) for ids in (positives, unlabelled)]
+    p, u = (x.count() for x in kept)
+    if p and u:
+        useful = gains(*map(_counts, kept), p, u) > MIN_GAIN
+        texts = [_useful_words(x, useful) for x in kept]
+    else:
+        texts = [[], []]
+    discard(*kept)
+    return train(*texts, prior, seed)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

@@ -429,3 +429,26 @@ def test_copies_behind_a_common_block_are_found_down_to_the_threshold(spark, edi
     got = {r["doc_id"]: r["class_id"] for r in near_dups.classify(frame(spark, rows)).collect()}
     assert sum(got[2 * i] == got[2 * i + 1] for i in range(n)) >= (0.85 if edits == 24 else 0.93) * n
     assert len(set(got.values())) >= n  # and no two originals are one class
+
+
+def test_repeated_ids_do_not_crowd_the_sample(spark):
+    rows = [(1, "same text again")] * 300 + [(i, f"text of number{i} w{i % 7}") for i in range(2, 200)]
+    docs = frame(spark, rows)
+    seen = []
+    fitted = toxicity.train
+    try:
+        toxicity.train = lambda p, u, *a: seen.append((len(p), len(u))) or fitted(p, u, *a)
+        labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")).distinct()
+        toxicity.fit(docs, labels, max_positive=20, max_unlabelled=50)
+    finally:
+        toxicity.train = fitted
+    assert seen == [(20, 50)]
+
+
+def test_words_of_very_long_texts_all_count(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    docs = frame(spark, [(1, long), (2, "w1 w2")])
+    ids = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    sample = toxicity._sampled(docs, ids)
+    words = {r["doc_id"]: len(r["words"]) // 4 for r in sample.collect()}
+    assert words[2] == 2 and words[1] > 50_000 and toxicity._counts(sample).sum() == sum(words.values())
