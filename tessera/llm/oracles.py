@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm import embeddings, merkle, trie, urls
 from tessera.llm.quality import MIN_GROUP, RULES
+from tessera.llm.substring import WINDOW
 
 MERKLE_LEVELS = 7  # enough for two million rows a language
 
@@ -125,6 +126,17 @@ def _crc32(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, b: {byte}), 4294967295)"
 
 
+def _windows() -> str:
+    word = r"[^\x20\x09-\x0D]+"
+    return f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{word}') AS ws FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - {WINDOW - 2})) AS s, unnest(list_transform(range(1, len(ws) - {WINDOW - 2}), lambda i: md5(array_to_string(ws[i:i + {WINDOW - 1}], ' ')))) AS h FROM w WHERE len(ws) >= {WINDOW}),
+d AS (SELECT doc_id, s FROM g QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, s) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + {WINDOW})) AS p FROM d),
+u AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
+k AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY u.p) FILTER (c.p IS NULL) AS kept, count(c.p) AS n_removed FROM u LEFT JOIN c ON u.doc_id = c.doc_id AND u.p = c.p GROUP BY u.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id"""
+
+
 def _vectors() -> str:
     return f"""WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS n, vec_id, embedding::DOUBLE[] AS e FROM embeddings
@@ -203,6 +215,6 @@ FROM w JOIN s ON w.prefix = s.prefix AND w.depth = s.depth LEFT JOIN v p ON p.de
 
 def oracles(rules: list[urls.Rule]) -> dict[str, str]:
     return {
-        "op2_quality_rules": _quality(), "op10_url_templates": _urls(rules),
+        "op2_quality_rules": _quality(), "op9_super_kmer_dedup": _windows(), "op10_url_templates": _urls(rules),
         "op11_subspace_join": _vectors(), "op12_merkle_manifest": _merkle(), "op13_prefix_trie": _trie(),
     }
