@@ -16,7 +16,7 @@ from tessera.operators import review as V
 from tessera.operators import rules as U
 from tessera.operators import scoring as S
 from tessera.operators.ordering import first_rows
-from tessera.plans.block_plans import _CANDIDATES, _DECLINED, _NOUNS, _candidates, _hits, decline_names
+from tessera.plans.block_plans import _CANDIDATES, _DECLINED, _NOUNS, _candidates, _hits, _scored_hits, decline_names
 from tessera.plans.fleet_plans import _CALLS, _KEYS, calls
 from tessera.plans.models import MODELS_CTE, SCORE_SQL, _OWNER, model_fitness, models, owner
 from tessera.plans.registry import Registry
@@ -356,9 +356,11 @@ def chunk_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retro_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns by what three scans saw, the second a part and the third a repetition of the first: each place once.
     What is applied already, or in the base list, goes."""
-    seen = _hits(spark, sf_dir).join(scored(spark, sf_dir).select("doc_id", "score"), "doc_id").where("score >= 4.0")
-    seen = seen.select("pattern", "kind", F.col("source").alias("book"), F.col("doc_id").alias("chunk"), "score", "context")
-    store = M.SightingStore(work_dir(spark, "sightings"))
+    folder = work_dir(spark, "sightings")
+    made = _scored_hits(spark, sf_dir).select("pattern", "kind", F.col("source").alias("book"), F.col("doc_id").alias("chunk"), "score", "context")
+    made.write.parquet(f"{folder}/seen")  # the texts are scored once, for all scans
+    seen = spark.read.schema(made.schema).parquet(f"{folder}/seen")
+    store = M.SightingStore(f"{folder}/store")
     store.write(seen, 1)
     store.write(seen.where("chunk % 2 = 0"), 2)
     store.write(seen, 1)

@@ -41,3 +41,12 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_filters_on_scores_do_not_work_them_out_again(spark):
+    plan = lambda name: catalog.QUERIES[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    once = plan("heuristic_score").count("nevertheless")
+    for name in ("bad_blocks", "blocks_by_file", "review_merge", "top_candidates", "status_report"):
+        assert plan(name).count("nevertheless") == once, name
+    for name in ("upsert_candidates", "promote_candidates", "ready_patterns"):  # texts are read once, too
+        assert plan(name).count("parquet") == 1 and "Join" not in plan(name), name
