@@ -8,6 +8,11 @@ holds that text. So what a rule makes, later rules see, and hundreds of rules co
 
 A text is cut once into what no rule may touch (tags, and terms of a glossary as whole words,
 longest first) and what lies between, so each character is looked at once. Null texts stay null and have no hits.
+
+If no match of any rule can hold white space or depend on what is beyond it, as with rules for words and
+parts of words, the text between is cut at white space too: the rules then see one word at a time, and only
+words that hold a known text. A rewrite costs a word, not the whole text again. Rules go in blocks, and a word is
+looked at once a block for all known texts of it.
 """
 
 from __future__ import annotations
@@ -23,7 +28,10 @@ from pyspark.sql import functions as F
 
 FLAGS = "(?iU)"
 LEAST_LITERAL = 2
-_RULE = "array<struct<seq:int,pattern:string,replacement:string,known:string>>"
+BLOCKS = 6  # blocks of rules; each takes Spark's analyzer a few of its hundred rounds
+_RULE = "array<struct<seq:int,pattern:string,replacement:string,known:string,place:int>>"
+_HITS = "array<struct<place:int,n:bigint>>"
+_GAP = r"[ \t\r\n]+"
 # A tag, or what stands before a stray `>`.
 _TAG = r"(?:^|<)[^<]*>"
 Rule = tuple[int, str, str, str]
@@ -73,6 +81,49 @@ def known_by(pattern: str) -> str:
     return _folded(best) if len(best) >= LEAST_LITERAL else ""
 
 
+def _in_words(tree: Iterable) -> bool:
+    """Whether no match of a parsed pattern holds white space or looks beyond it."""
+    for kind, value in tree:
+        if kind is sre.LITERAL:
+            fits = chr(value) not in " \t\r\n"
+        elif kind is sre.AT:
+            fits = value in (sre.AT_BOUNDARY, sre.AT_NON_BOUNDARY)
+        elif kind is sre.IN:  # for Java, a bracket inside begins a class of its own
+            fits = all(
+                (k is sre.LITERAL and chr(v) not in " \t\r\n[&") or (k is sre.RANGE and (v[0] > 32 or v[1] < 9) and not v[0] <= ord("[") <= v[1])
+                or (k is sre.CATEGORY and v in (sre.CATEGORY_WORD, sre.CATEGORY_DIGIT)) for k, v in value
+            )
+        elif kind is sre.SUBPATTERN:
+            fits = not value[1] and not value[2] and _in_words(value[3])
+        elif kind is sre.BRANCH:
+            fits = all(map(_in_words, value[1]))
+        else:
+            fits = kind in (sre.MAX_REPEAT, sre.MIN_REPEAT) and _in_words(value[2])
+        if not fits:
+            return False
+    return True
+
+
+def in_words(pattern: str) -> bool:
+    """Whether a rule does the same to a text and to its words, cut at white space, one by one."""
+    try:
+        tree = sre_parser.parse(pattern, re.IGNORECASE)
+    except (re.error, OverflowError, RecursionError):
+        return False
+    return tree.getwidth()[0] > 0 and not tree.state.flags & (re.VERBOSE | re.ASCII) and _in_words(tree)
+
+
+def any_of(texts: Iterable[str]) -> str:
+    """A pattern that finds any of the texts; what they begin with in common is looked at once."""
+    heads: dict[str, list[str]] = {}
+    for t in texts:
+        if not t:
+            return ""
+        heads.setdefault(t[0], []).append(t[1:])
+    ways = [re.sub(r"([^\w\s])", r"\\\1", c) + any_of(rest) for c, rest in sorted(heads.items())]
+    return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+
 def _flaw(spark: SparkSession, pattern: str, new: str) -> str | None:
     """Why Java cannot use a rule."""
     regex = spark._jvm.java.util.regex.Pattern
@@ -104,14 +155,24 @@ def fixed_parts(terms: list[str], tags: bool = True) -> str:
     return "|".join([_TAG] * tags + whole) or "(?!)"
 
 
+def _summed(hits: Column) -> Column:
+    """Hits of many words, one a rule, in order."""
+    empty = F.struct(F.array().cast(_HITS).alias("done"), F.lit(-1).alias("place"), F.lit(0).cast("long").alias("n"))
+    closed = lambda acc: F.when(acc["place"] < 0, acc["done"]).otherwise(F.array_append(acc["done"], F.struct(acc["place"].alias("place"), acc["n"].alias("n"))))
+
+    def step(acc: Column, h: Column) -> Column:
+        more = F.struct(acc["done"].alias("done"), acc["place"].alias("place"), (acc["n"] + h["n"]).alias("n"))
+        return F.when(acc["place"] == h["place"], more).otherwise(F.struct(closed(acc).alias("done"), h["place"].alias("place"), h["n"].alias("n")))
+
+    return F.aggregate(F.sort_array(hits), empty, step, closed)
+
+
 def rewritten(text: Column, rules: list[Rule], terms: list[str] = ()) -> Column:
     """A struct of the rewritten `text` and `hits`, an array of (seq, n) of the rules that changed it, in order."""
-    table = F.from_json(F.lit(json.dumps([dict(zip(("seq", "pattern", "replacement", "known"), r, strict=True)) for r in rules])), _RULE)
+    names = ("seq", "pattern", "replacement", "known", "place")
+    placed = [dict(zip(names, (*r, i), strict=True)) for i, r in enumerate(rules)]
+    table = lambda some: F.from_json(F.lit(json.dumps(some)), _RULE)
     fixed = F.lit(fixed_parts(list(terms)))
-    start = F.struct(
-        F.split(text, fixed, -1).alias("free"), folded(F.array_join(F.split(text, fixed, -1), "\u0000")).alias("seen"),
-        F.array().cast("array<struct<seq:int,n:bigint>>").alias("hits"),
-    )
 
     def step(acc: Column, r: Column) -> Column:
         pattern = F.concat(F.lit(FLAGS), r["pattern"])
@@ -120,18 +181,42 @@ def rewritten(text: Column, rules: list[Rule], terms: list[str] = ()) -> Column:
         def made(n: Column) -> Column:
             """After n rewrites; arrays of one bind what is used twice."""
             new = F.array(F.transform(acc["free"], lambda p: F.regexp_replace(p, pattern, r["replacement"])))
-            hits = F.array_append(acc["hits"], F.struct(r["seq"].alias("seq"), n.alias("n")))
+            hits = F.array_append(acc["hits"], F.struct(r["place"].alias("place"), n.alias("n")))
             after = F.transform(new, lambda f: F.struct(f.alias("free"), folded(F.array_join(f, "\u0000")).alias("seen"), hits.alias("hits")))[0]
             return F.when(n > 0, after).otherwise(acc)
 
         return F.when(acc["seen"].contains(r["known"]), F.transform(F.array(count), made)[0]).otherwise(acc)
 
-    done = F.aggregate(table, start, step)
+    def run(pieces: Column, size: int) -> Column:
+        """All rules in turn over an array of pieces of text, in blocks of so many."""
+        acc = F.struct(pieces.alias("free"), folded(F.array_join(pieces, "\u0000")).alias("seen"), F.array().cast(_HITS).alias("hits"))
+        for k in range(0, len(placed), size):
+            some = placed[k : k + size]
+            block = lambda a: F.when(a["seen"].rlike(any_of(r["known"] for r in some)), F.aggregate(table(some), a, step)).otherwise(a)  # noqa: B023, E731  built at once
+            acc = F.transform(F.array(acc), block)[0]
+        return acc
+
+    def by_word(piece: Column) -> Column:
+        """A piece whose words are rewritten one by one."""
+        untouched = lambda w: F.struct(w.alias("text"), F.array().cast(_HITS).alias("hits"))
+        ran = lambda w: F.transform(F.array(run(F.array(w), block)), lambda d: F.struct(d["free"][0].alias("text"), d["hits"].alias("hits")))[0]
+        words = F.transform(F.split(piece, _GAP, -1), lambda w: F.when(folded(w).rlike(may), ran(w)).otherwise(untouched(w)))
+        whole = lambda ws: F.array_join(F.zip_with(ws["text"], F.regexp_extract_all(piece, F.lit(_GAP), F.lit(0)), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.transform(F.array(words), lambda ws: F.struct(whole(ws).alias("text"), F.flatten(ws["hits"]).alias("hits")))[0]
+
+    free = F.split(text, fixed, -1)
+    if rules and all(in_words(pattern) for _, pattern, _, _ in rules):
+        may, block = any_of(known for _, _, _, known in rules), -(-len(rules) // BLOCKS)
+        pieces = F.transform(F.array(F.transform(free, by_word)), lambda ps: F.struct(ps["text"].alias("free"), _summed(F.flatten(ps["hits"])).alias("hits")))
+        done = pieces[0]
+    else:
+        done = run(free, max(1, len(rules)))
     kept = F.regexp_extract_all(text, fixed, F.lit(0))
 
     def joined(d: Column) -> Column:
-        pieces = F.zip_with(d["free"], kept, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-        return F.struct(F.array_join(pieces, "").alias("text"), d["hits"].alias("hits"))
+        parts = F.zip_with(d["free"], kept, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        seqs = F.transform(d["hits"], lambda h: F.struct(F.get(table(placed), h["place"])["seq"].alias("seq"), h["n"].alias("n")))
+        return F.struct(F.array_join(parts, "").alias("text"), seqs.alias("hits"))
 
     return F.when(text.isNotNull(), F.transform(F.array(done), joined)[0])
 

@@ -79,3 +79,33 @@ def test_hundreds_of_rules_fit_one_plan(spark):
     docs = spark.range(50).select(F.concat_ws(" ", F.transform(F.sequence(F.col("id"), F.col("id") + 20), lambda x: F.concat(F.lit("w"), x.cast("string"), F.lit(" q")))).alias("text"))
     rows = U.apply_rules(docs, rules).collect()
     assert all("w" not in r["text"] and len(r["hits"]) == 21 for r in rows)
+
+
+def test_rules_in_words_equal_plain_ones_and_rules_on_whole_texts(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abčDEž-.") for _ in range(rng.randint(1, 6)))
+    rules = [(i, p, n) for i, (p, n) in enumerate([
+        ("ab", "ba"), ("b(a|č)", r"<\1> a"), ("(ab)+", "x b"), ("č{2,}", ""), (r"\bd\w*", "Q"), ("[žŽ]a", "bab"), ("q", "ab"), (r"a\b", "ab"), ("ba", "d+"), ("x", ""),
+    ])]
+    assert all(U.in_words(p) for _, p, _ in rules)
+    texts = ["".join(rng.choice([word() + " ", word(), "  ", "\n", "\t ", "\u00a0", "<b>", '<i c="ab">', ">", "<"]) for _ in range(rng.randint(0, 30))) for _ in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None), (-2, ""), (-3, " ")], "i int, text string").repartition(4)
+    # A rule that never matches, but might match white space: all rules see whole texts.
+    more = [*rules, (len(rules), "never seen", "x")]
+    for terms in ([], ["ab", "a b", "žč"]):
+        got, whole = ({r["i"]: (r["text"], r["hits"]) for r in U.apply_rules(docs, _rules(spark, x), terms=terms).collect()} for x in (rules, more))
+        assert got == whole
+        for i, t in enumerate(texts):
+            assert (got[i][0], [tuple(h) for h in got[i][1]]) == _plain(t, rules, terms), (t, terms)
+
+
+def test_which_rules_stay_in_words():
+    inside = ["word", r"\bword\b", "a(b|c)+d", "[a-zž]x", r"\w+x", "x{2,}", "(?:ab)?c"]
+    beyond = ["a b", r"a\s+b", "^a", "a$", "a.b", "[^a]b", "(?<= )a", "a(?! )", "a*", "", "(", r"a\Wb", "[a[^b]]", r"(a)\1", "[ -z]a", "(?x)a b", "a(?-i:b)"]
+    assert all(map(U.in_words, inside)) and not any(map(U.in_words, beyond))
+
+
+def test_any_of_finds_each_of_many_texts():
+    found = re.compile(U.any_of(["THAT", "THIS", "TH.", "WITH", "WITHOUT"])).search
+    assert all(found(f"x{t}x") for t in ("THAT", "THIS", "TH.", "WITH")) and not any(map(found, ("THE", "WIT", "")))
+    assert U.any_of(["AB", ""]) == ""
