@@ -17,7 +17,10 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 
 class _Follower(StatefulProcessor):
     """Keeps what has come until the watermark passes it, then takes it in order of time: so a
-    stream that comes shuffled, or late by less than the watermark allows, gives what its table would."""
+    stream that comes shuffled, or late by less than the watermark allows, gives what its table would.
+
+    Calls to the state store cost far more than events, so their number goes with the keys of a batch: a list is
+    written at once, and a key has one timer a batch, for the first event that came, not one for each."""
 
     def __init__(self, min_gap: float):
         self.min_gap = min_gap
@@ -31,15 +34,16 @@ class _Follower(StatefulProcessor):
         self.state.update((int(initialState["until"].iloc[0]), 0, 0, 0, 0, 0))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
-        times = set()
-        for frame in rows:
-            for e in events_of(frame):
-                self.waiting.appendValue((e.micros, e.seq, e.code, e.retry_after, e.usual, e.control))
-                times.add(e.micros // 1000 + 1)  # once the watermark is here, no event of the time before can come
-        for t in times:
-            self.handle.registerTimer(t)
+        came = [(e.micros, e.seq, e.code, e.retry_after, e.usual, e.control) for frame in rows for e in events_of(frame)]
+        if came:
+            self.waiting.appendList(came)
+            self._wake(came)
         yield from ()
 
+    def _wake(self, events: list[tuple]) -> None:
+        """A timer for the first of the events: once the watermark is there, no event of the time before can come."""
+        self.handle.registerTimer(min(x[0] for x in events) // 1000 + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
         limit = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = [tuple(x) for x in self.waiting.get()]
@@ -56,6 +60,7 @@ class _Follower(StatefulProcessor):
         later = [x for x in waiting if x[0] >= limit]
         if later:
             self.waiting.put(later)
+            self._wake(later)
         else:
             self.waiting.clear()
         yield frame_of(made)

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,38 @@ def test_retry_after(spark):
         row = spark.sql(f"SELECT CAST({headers} AS map<string, string>) AS headers, {code} AS code, CAST({body} AS string) AS body, {at} AS ts")
         made = K.retry_after(F.col("code"), F.col("headers"), F.col("body"), F.col("ts"), F.lit(12))
         assert row.select(made.alias("x")).head()["x"] == want, (headers, code, body)
+
+
+def test_calls_to_the_state_store_do_not_grow_with_the_events_of_a_key():
+    class Kept:
+        def __init__(self):
+            self.rows, self.calls = [], 0
+
+        def __getattr__(self, name):  # each method that writes or reads is a call
+            self.calls += 1
+            return {"appendList": self.rows.extend, "appendValue": self.rows.append, "get": lambda: iter(list(self.rows)), "exists": lambda: False,
+                    "put": lambda x: self.rows.__setitem__(slice(None), x), "clear": self.rows.clear, "update": lambda x: None}[name]
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.kept = [], {"state": Kept(), "waiting": Kept()}
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self.kept[name]
+
+        getListState = getValueState  # noqa: N815
+
+        def registerTimer(self, t):  # noqa: N802
+            self.timers.append(t)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 250
+
+    handle, follower = Handle(), stream_state._Follower(2.0)
+    follower.init(handle)
+    frame = pd.DataFrame({"micros": [i * 1000 for i in range(500)][::-1], "seq": range(500), "code": 200, "retry_after": None, "usual": 0.0, "control": None})
+    assert list(follower.handleInputRows(("P", "k"), iter([frame[:300], frame[300:]]), None)) == []
+    assert handle.timers == [1] and handle.kept["waiting"].calls == 1
+    out = pd.concat(follower.handleExpiredTimer(("P", "k"), Times(), None))
+    assert out["seq"].tolist() == list(range(499, 249, -1)) and handle.timers == [1, 251] and len(handle.kept["waiting"].rows) == 250
