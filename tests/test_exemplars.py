@@ -2,6 +2,7 @@ import difflib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,23 @@ def test_store_equals_the_sequential_loop(spark, most):
 def test_normalised(spark):
     row = spark.createDataFrame([(" A B\n\nC ",)], "t string").select(E.normalised(F.col("t"))).head()
     assert row[0] == "a b c"
+
+
+def test_a_group_of_exemplars_goes_through_a_text_at_once(monkeypatch):
+    from tessera.operators import exemplars as X
+
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcd ž") for _ in range(n))
+    texts = [word(rng.choice([0, 1, 7, 8, 9, 60, 300])) for _ in range(70)]
+    group = X.Group(texts)
+    for other in ["", "a", word(31), word(32), word(33), word(300)]:
+        alone = [X.common(X.places(t), len(t), other, 0) for t in texts]
+        assert group.common(other, np.zeros(len(texts))).tolist() == alone
+    # Ruled out as a group, where each had been compared alone before.
+    calls = []
+    monkeypatch.setattr(X, "common", lambda *a: calls.append(a))
+    held = X.Exemplars(list(range(70)), texts)
+    for other in texts:
+        want = [(i, r) for i, t in enumerate(texts) if (r := difflib.SequenceMatcher(None, other, t).ratio()) >= 0.75]
+        assert sorted(held.alike(other, 0.75)) == want
+    assert not calls
