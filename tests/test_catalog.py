@@ -50,3 +50,16 @@ def test_filters_on_scores_do_not_work_them_out_again(spark):
         assert plan(name).count("nevertheless") == once, name
     for name in ("upsert_candidates", "promote_candidates", "ready_patterns"):  # texts are read once, too
         assert plan(name).count("parquet") == 1 and "Join" not in plan(name), name
+
+
+def test_trigrams_are_counted_where_a_text_is_read_and_ids_of_many_rows_together(spark, tmp_path):
+    def plan(folder):
+        return catalog.QUERIES["repeated_trigrams"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "Aggregate [" not in plan(SF_DIR)
+    text = "one two three four " * 2 + "x" * 200
+    rows = [(1, text), (1, text), (2, text), (2, text + " one two three"), (3, text + " one two three"), (None, text), (None, text), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    next((tmp_path / "d").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    compare(spark, catalog.QUERIES["repeated_trigrams"], catalog.ORACLES["repeated_trigrams"], str(tmp_path))
+    assert catalog.QUERIES["repeated_trigrams"](spark, str(tmp_path)).where("doc_id = 3").count() == 1
