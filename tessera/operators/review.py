@@ -117,4 +117,5 @@ def skips_corrector(score: Column, before: Column, after: Column) -> Column:
     likeness of the first characters, which is looked at for the few that are left. No text, no score: no."""
     slight = (score >= SKIP_SCORE) & (F.length(before) > 0) & (F.length(after) > 0) & (T.word_change(before, after) <= SKIP_CHANGE)
     head = lambda c: F.when(slight, F.left(c, F.lit(SKIP_HEAD)))
-    return F.coalesce(slight & (F.pandas_udf(_ratio, DoubleType())(head(before), head(after)) >= SKIP_ALIKE), F.lit(False))
+    # Texts that changed more have no heads, and so no likeness: the change is worked out below the function only.
+    return F.pandas_udf(_ratio, DoubleType())(head(before), head(after)) >= SKIP_ALIKE

@@ -50,3 +50,14 @@ def test_models(spark):
     models = spark.createDataFrame([("A", "1"), ("A", "2"), ("B", "1")], "provider string, model string")
     dead = spark.createDataFrame([("A", "1"), ("B", "1"), ("A", "1")], "provider string, model string")
     assert sorted(map(tuple, V.living(models, dead).collect())) == [("A", "2"), ("B", "1")]
+
+
+def test_change_is_worked_out_once_for_the_corrector(spark):
+    from tessera.operators import review
+
+    rows = [(9.0, "a b", "a b"), (9.0, "a b", "c d"), (None, "a b", "a b"), (9.0, None, "a"), (9.0, "", ""), (1.0, "a b", "a b")]
+    docs = spark.createDataFrame(rows, "score double, before string, after string")
+    made = docs.select(review.skips_corrector(F.col("score"), F.col("before"), F.col("after")).alias("skips"))
+    assert [r["skips"] for r in made.collect()] == [True, False, False, False, False, False]
+    above, below = made._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython")
+    assert "array_except" in below and "array_except" not in above
