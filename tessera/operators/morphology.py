@@ -51,11 +51,16 @@ def doubtful_forms(docs: DataFrame, key: str, text: str = "text", patterns: list
     fits as a whole and that is not known to be right."""
     known = F.array(*map(F.lit, right))
     cut = docs.select(key, text, words_of(F.col(text)).alias("_w"), gaps_of(F.col(text)).alias("_g"))
+    placed = F.transform("_w", lambda w, k: F.struct(w.alias("form"), k.alias("place")))
+    # Most words fit no pattern: one search leaves them out, unless patterns count groups and cannot be joined.
+    apart = any("\\k<" in p or any(f"\\{d}" in p for d in range(1, 10)) for p in patterns)
+    either = "(?s).*" if apart else "|".join(f"(?:{p})" for p in patterns)
+    cut = cut.withColumn("_c", F.filter(placed, lambda x: x["form"].rlike(f"(?iU)^(?:{either})$")))
 
     def hits(i: int, pattern: str) -> Column:
         """Words that one pattern finds, with their places."""
-        placed = F.transform("_w", lambda w, k: F.struct(F.lit(i).alias("pattern"), w.alias("form"), k.alias("place")))
-        return F.filter(placed, lambda x: x["form"].rlike(f"(?iU)^(?:{pattern})$") & ~F.array_contains(known, F.lower(x["form"])))
+        fits = F.filter("_c", lambda x: x["form"].rlike(f"(?iU)^(?:{pattern})$") & ~F.array_contains(known, F.lower(x["form"])))
+        return F.transform(fits, lambda x: F.struct(F.lit(i).alias("pattern"), x["form"].alias("form"), x["place"].alias("place")))
 
     found = [hits(i, p) for i, p in enumerate(patterns)]
     rows = cut.withColumn("_hit", F.explode(F.concat(*found))).select(key, text, "_hit.*", start_of(F.col("_w"), F.col("_g"), F.col("_hit.place")).alias("position"))

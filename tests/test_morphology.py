@@ -96,3 +96,14 @@ def test_gender_is_corrected_by_the_registry_of_the_book(spark):
         assert got[i] == _corrected(t, {n.lower(): g for b, n, g in registry if b == book and g}), t
     assert got[0] == ("Ana je rekla da je došao. Rekla je Ana.", 2)
     assert sum(n for _, n in got.values()) > 30
+
+
+def test_words_that_fit_no_pattern_are_left_out_by_one_search(spark):
+    from tessera.operators import morphology
+
+    docs = spark.createDataFrame([(1, "aa ab ba bb abab"), (2, None)], "k int, text string")
+    found = morphology.doubtful_forms(docs, "k", patterns=["a.", ".b", "abab"], right=["ba"])
+    assert sorted((r["pattern"], r["form"], r["position"]) for r in found.collect()) == [(0, "aa", 0), (0, "ab", 3), (1, "ab", 3), (1, "bb", 9), (2, "abab", 12)]
+    assert "a.)|(?:.b)|(?:abab" in found._jdf.queryExecution().optimizedPlan().toString()
+    twice = morphology.doubtful_forms(docs, "k", patterns=["x", r"(ab)\1"], right=[])
+    assert [(r["pattern"], r["form"]) for r in twice.collect()] == [(1, "abab")]
