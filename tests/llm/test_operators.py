@@ -452,3 +452,23 @@ def test_words_of_very_long_texts_all_count(spark):
     sample = toxicity._sampled(docs, ids)
     words = {r["doc_id"]: len(r["words"]) // 4 for r in sample.collect()}
     assert words[2] == 2 and words[1] > 50_000 and toxicity._counts(sample).sum() == sum(words.values())
+
+
+def test_texts_of_a_full_bucket_meet_exactly(spark, monkeypatch):
+    # A chain around two hubs: texts next to each other are linked, further ones are not; all quote one block,
+    # and other texts without a link quote it, too. No sketches but the first ones, and blocks of few texts.
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    common, rows = [word() for _ in range(80)], []
+    own = [word() for _ in range(40)]
+    for i in range(60):
+        rows.append((i, " ".join(common + own)))
+        own = list(own)
+        for at in rng.sample(range(40), 23):
+            own[at] = word()
+    rows += [(100 + i, " ".join(common + [word() for _ in range(40)])) for i in range(60)]
+    monkeypatch.setattr(near_dups, "GROWTH", (1,))
+    monkeypatch.setattr(near_dups, "REST_WORDS", 10**6)
+    monkeypatch.setattr(near_dups, "BLOCK_WORDS", 1500, raising=False)
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.classify(frame(spark, rows)).collect()}
+    assert all(got[i] == (0 if i < 60 else i) for i in got)
