@@ -63,3 +63,10 @@ def test_trigrams_are_counted_where_a_text_is_read_and_ids_of_many_rows_together
     next((tmp_path / "d").glob("*.parquet")).rename(tmp_path / "documents.parquet")
     compare(spark, catalog.QUERIES["repeated_trigrams"], catalog.ORACLES["repeated_trigrams"], str(tmp_path))
     assert catalog.QUERIES["repeated_trigrams"](spark, str(tmp_path)).where("doc_id = 3").count() == 1
+
+
+def test_patterns_of_a_score_are_searched_once_a_text(spark):
+    from tessera.operators.scoring import QUOTES
+
+    plan = catalog.QUERIES["bad_blocks"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[a-z]{2,}") == 1 and plan.count(QUOTES) == 1
