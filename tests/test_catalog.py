@@ -70,3 +70,13 @@ def test_patterns_of_a_score_are_searched_once_a_text(spark):
 
     plan = catalog.QUERIES["bad_blocks"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[a-z]{2,}") == 1 and plan.count(QUOTES) == 1
+
+
+def test_rows_of_one_id_and_full_bitmaps_lose_and_double_no_terms(spark):
+    from tessera.operators.glossary import contained
+
+    docs = spark.createDataFrame([(1, "Aaa needle bbb"), (1, "x NEEDLE"), (2, "nothing " * 500), (None, "needles")], "doc_id int, text string")
+    terms = spark.createDataFrame([(7, "needle"), (8, "zzzzzzzzzzzz"), (7, "s")], "term_id int, term string")
+    want = [("1", 7), ("1", 7), ("None", 7), ("None", 7)]
+    for bits in (20, 1):
+        assert sorted((str(d), t) for d, t in contained(docs, terms, bits).collect()) == want
