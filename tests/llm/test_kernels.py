@@ -151,3 +151,33 @@ def test_word_spans_match_the_pattern():
     assert got == [(i, w) for i, t in enumerate(texts) for w in words(t)]
     hashes = _bytes.word_hashes(data, starts, ends)
     assert len(set(hashes.tolist())) == len({w for _, w in got})
+
+
+def test_rarest_words_and_bitmaps_keep_all_pairs_that_may_be_linked():
+    rng = np.random.default_rng(23)
+    order = rng.integers(0, 255, 1 << near_dups.ORDER_BITS).astype(np.uint8)
+    each = []
+    for n in (1, 2, 4, 5, 9, 16, 17, 40, 128, 129, 300):
+        text = rng.integers(0, max(2, n // 2), n).astype(np.uint64)  # words come again
+        for _ in range(6):
+            other = text.copy()
+            other[rng.choice(n, n // 5, replace=False)] = rng.integers(1000, 2000, n // 5)
+            each += [text[: n - n // 5], other]
+    sizes = np.array([len(w) for w in each])
+    runs, at = near_dups._labelled_runs(np.concatenate(each), np.repeat(np.arange(len(each)), sizes), len(each), 1)
+    first, rows = near_dups.rarest(runs, at, sizes, order)
+    bits = [near_dups.bitmap(runs[at == i], n) for i, n in enumerate(sizes.tolist())]
+    every = np.arange(len(each))
+    i, j, more = near_dups.slack(bits, sizes, every, every)
+    judged = dict(zip(zip(i.tolist(), j.tolist(), strict=True), more.tolist(), strict=True))
+    assert len(judged) == len(i)
+    bags, rare = [set(runs[at == x].tolist()) for x in every], [set(first[rows == x].tolist()) for x in every]
+    linked = 0
+    for a in range(len(each)):
+        for b in range(len(each)):
+            longest = max(sizes[a], sizes[b])
+            over = len(bags[a] & bags[b]) - (longest - int(longest * 0.2 + 1e-9))
+            if over >= 0:
+                linked += 1
+                assert rare[a] & rare[b] and judged[a, b] >= over
+    assert 300 < linked < len(judged) <= len(each) ** 2

@@ -472,3 +472,24 @@ def test_texts_of_a_full_bucket_meet_exactly(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "BLOCK_WORDS", 1500, raising=False)
     got = {r["doc_id"]: r["class_id"] for r in near_dups.classify(frame(spark, rows)).collect()}
     assert all(got[i] == (0 if i < 60 else i) for i in got)
+
+
+def test_rest_of_full_buckets_takes_each_text_once(spark, monkeypatch):
+    # Sixty texts in forty full buckets, no two of the same texts; thirty pairs of them are linked.
+    import numpy as np
+
+    rng, draw = random.Random(22), np.random.default_rng(22)
+    common, each = draw.integers(0, 2**63, 40).astype(np.uint64), []
+    for _ in range(30):
+        own = np.concatenate([common, draw.integers(0, 2**63, 40).astype(np.uint64)])
+        copy = own.copy()
+        copy[draw.choice(80, 16, replace=False)] = draw.integers(0, 2**63, 16)
+        each += [own, copy]
+    texts = spark.createDataFrame([(i, bytearray(w.astype("<u8").tobytes())) for i, w in enumerate(each)], "node long, words binary")
+    buckets = [(t, i, 80) for t in range(40) for i in sorted(rng.sample(range(60), 57))]
+    crowds = spark.createDataFrame(buckets, "token long, node long, n_words int")
+    sizes, write = [], near_dups.materialise
+    monkeypatch.setattr(near_dups, "materialise", lambda df, tag: (out := write(df, tag), sizes.append(out.count()))[0])
+    got = near_dups._rest(crowds, spark.createDataFrame([], "node long, label long"), texts).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(2 * i, 2 * i + 1) for i in range(30)}
+    assert max(sizes) <= 60 * 17  # a text's rarest words, whatever the number of its buckets
