@@ -19,10 +19,11 @@ until at most BUCKET texts share them. Besides, its texts are sketched again fro
 runs of full buckets leave, in rounds, until hardly any are in full buckets: so a pair of texts that
 both quote a common passage meets through the rest of them, or, where almost nothing is left, through
 the leader, which has little else itself. So far the work is in proportion to the number of sketches,
-whatever the size of a group, and most texts of a full bucket are of one class. The rest is exact: in every
-full bucket, texts of different classes are compared, all pairs, in blocks of bounded size. Products of
-counts of words and of pairs of words rule out what cannot be linked, the alignment decides what is left;
-so no two texts that share a sketch are of different classes if they are linked.
+whatever the size of a group, and most texts of a full bucket are of one class. The rest is exact: of
+linked texts all but a fifth of the longer one's words are in common, so they share one of the rarest words,
+a fifth of them and one more. Texts of full buckets, the same or not, that are of different classes meet by
+these words; bitmaps of their words rule out what cannot be linked, the alignment decides what is left. So no
+two texts of full buckets are of different classes if they are linked.
 
 Texts with a remnant in common fall into groups by the places of the words left out. Those of one
 group differ in just these words, so all are linked to its first text; whether texts of two groups
