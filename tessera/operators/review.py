@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import difflib
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType
 
 from tessera.functions import text as T
 from tessera.operators.rules import fixed_parts
@@ -104,18 +105,45 @@ def living(models: DataFrame, dead: DataFrame) -> DataFrame:
 
 
 # What a text must score, how many of its words may have changed, how alike it must still be.
-SKIP_SCORE, SKIP_CHANGE, SKIP_ALIKE, SKIP_HEAD = 8.5, 0.05, 0.92, 500
-
-
-def _ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+SKIP_SCORE, SKIP_CHANGE, SKIP_ALIKE = 8.5, 0.05, 0.92
+
+
+def reaches(before: str, after: str, least: float) -> bool:
+    """Whether difflib's ratio of two whole texts is `least` or more. Its matching blocks are found largest gaps
+    first, until what is matched is enough, or all that is left could not be."""
+    if before == after:
+        return True
+    total = len(before) + len(after)
+    pairs = difflib.SequenceMatcher(None, before, after)
+    if pairs.real_quick_ratio() < least or pairs.quick_ratio() < least:
+        return False
+    # Any order finds the same blocks: each gap is matched on its own.
+    most = lambda gap: min(gap[1] - gap[0], gap[3] - gap[2])
+    whole = (0, len(before), 0, len(after))
+    gaps, matched, left = [(-most(whole), whole)], 0, most(whole)
+    while 2.0 * matched / total < least <= 2.0 * (matched + left) / total:
+        gap = heapq.heappop(gaps)[1]
+        left -= most(gap)
+        i, j, n = pairs.find_longest_match(*gap)
+        if n:
+            matched += n
+            for part in ((gap[0], i, gap[2], j), (i + n, gap[1], j + n, gap[3])):
+                if most(part):
+                    heapq.heappush(gaps, (-most(part), part))
+                    left += most(part)
+    return 2.0 * matched / total >= least
+
+
+def _alike(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
-        yield pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
+        yield pd.Series([x is not None and y is not None and reaches(x, y, SKIP_ALIKE) for x, y in zip(a, b, strict=True)], dtype="bool")
 
 
 def skips_corrector(score: Column, before: Column, after: Column) -> Column:
     """Whether a text that an editor hardly touched needs no corrector: by score, changed words, and
-    likeness of the first characters, which is looked at for the few that are left. No text, no score: no."""
+    likeness of the whole texts, which is looked at for the few that are left. No text, no score: no."""
     slight = (score >= SKIP_SCORE) & (F.length(before) > 0) & (F.length(after) > 0) & (T.word_change(before, after) <= SKIP_CHANGE)
-    head = lambda c: F.when(slight, F.left(c, F.lit(SKIP_HEAD)))
-    # Texts that changed more have no heads, and so no likeness: the change is worked out below the function only.
-    return F.pandas_udf(_ratio, DoubleType())(head(before), head(after)) >= SKIP_ALIKE
+    # Texts that changed more are not sent, and so not alike: the change is worked out below the function only.
+    # Of equal texts nothing need be sent: two empty ones are equal, too.
+    sent = lambda c: F.when(slight, F.when(before != after, c).otherwise(""))
+    return F.pandas_udf(_alike, BooleanType())(sent(before), sent(after))

@@ -1,5 +1,7 @@
 """Operators over rules, characters, clues and keys, on awkward rows."""
 
+import difflib
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -61,3 +63,27 @@ def test_change_is_worked_out_once_for_the_corrector(spark):
     assert [r["skips"] for r in made.collect()] == [True, False, False, False, False, False]
     above, below = made._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython")
     assert "array_except" in below and "array_except" not in above
+
+
+def test_corrector_is_skipped_by_whole_texts(spark):
+    text = " ".join(f"rijec{i}" for i in range(3000))
+    turned = text[:600] + " ".join(reversed(text[600:].split(" ")))
+    rows = [(9.0, text, turned), (9.0, text, text), (9.0, text[:300], text[:280] + text[280:300].upper())]
+    got = spark.createDataFrame(rows, "score double, before string, after string").coalesce(1).select(V.skips_corrector(F.col("score"), F.col("before"), F.col("after"))).collect()
+    want = [difflib.SequenceMatcher(None, b, a).ratio() >= 0.92 for _, b, a in rows]
+    assert [r[0] for r in got] == want == [False, True, True]
+
+
+def test_reaching_a_likeness_equals_the_ratio():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgxyzqž") for _ in range(rng.randint(1, 7)))
+    found = set()
+    for k in range(150):
+        words = [word() for _ in range(rng.choice([0, 1, 5, 40, 200]))]
+        edited = [word() if rng.random() < k / 1500 else w for w in words]
+        a, b = " ".join(words), " ".join(edited)
+        ratio = difflib.SequenceMatcher(None, a, b).ratio()
+        for least in (0.5, 0.92, ratio, min(1.0, ratio + 1e-12)):
+            assert V.reaches(a, b, least) == (ratio >= least), (a, b, least)
+        found.add(ratio >= 0.92)
+    assert found == {True, False}
