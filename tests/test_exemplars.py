@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import exemplars as E
 from tessera.plans import catalog
 from tests.oracle import SF_DIR
@@ -145,3 +146,43 @@ def test_a_group_of_exemplars_goes_through_a_text_at_once(monkeypatch):
         want = [(i, r) for i, t in enumerate(texts) if (r := difflib.SequenceMatcher(None, other, t).ratio()) >= 0.75]
         assert sorted(held.alike(other, 0.75)) == want
     assert not calls
+
+
+def test_lookup_uses_whole_texts(spark, tmp_path):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, text(rng.randint(30, 250))) for i in range(20)] + [(50, None), (51, "ab")]
+    docs = [(100, None), (101, "ab"), (102, "")]
+    for i, t in items[:20]:
+        docs.append((1000 + i, t.upper()))
+        docs.append((2000 + i, t[:300] + text(200)))  # alike at the beginning alone
+        docs.append((3000 + i, text(70) + t[300:] if len(t) > 1200 else text(300)))  # alike but for the beginning
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    kinds = {}
+    for name, key in (("benchmark", "item_id"), ("documents", "doc_id")):
+        kinds |= {(key, r[0]): r[1] for r in spark.read.parquet(f"{tmp_path}/{name}.parquet").select(key, T.block_type(F.col("text"))).collect()}
+    whole = lambda t: re.sub(r"\s+", " ", t).strip().lower()
+    want = set()
+    for d, a in docs:
+        near = [(i, difflib.SequenceMatcher(None, whole(a), whole(b)).ratio()) for i, b in items if a is not None and b is not None and kinds["item_id", i] == kinds["doc_id", d]]
+        want |= {(d, i, r) for i, r in sorted(near, key=lambda x: (-x[1], x[0]))[:3] if r >= 0.75}
+    got = {tuple(r) for r in catalog.QUERIES["exemplar_lookup"](spark, str(tmp_path)).collect()}
+    assert got == want and len(want) >= 20
+
+
+def test_long_texts_of_one_letter_are_not_lost(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "id long, t string")
+    got = E.alike(frame([(1, "x" * 70_000), (2, "x" * 20), (3, None)]), frame([(7, "x" * 70_001), (8, None)]), 0.75)
+    assert [(r["text_id"], r["exemplar_id"]) for r in got.collect()] == [(1, 7)]
+    assert E.alike(frame([(1, "a")]), frame([(1, "a")]).limit(0), 0.75).collect() == []
+
+
+def test_exemplars_of_many_characters_make_blocks(spark, monkeypatch):
+    monkeypatch.setattr(E, "CHARACTERS", 100)
+    rows = [(i, chr(97 + i) * 50) for i in range(20)]
+    frame = spark.createDataFrame(rows, "id long, t string")
+    got = E.alike(frame, frame, 0.75)
+    assert sorted((r["text_id"], r["exemplar_id"]) for r in got.collect()) == [(i, i) for i in range(20)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 10
