@@ -249,3 +249,14 @@ def test_ends_in_many_pieces(spark, monkeypatch):
     assert trie._pieces(ends).count() > 1
     got = trie._digests(ends).collect()
     assert [r["ends_sha256"] for r in got] == [_h([",".join(map(str, range(20_000)))])]
+
+
+def test_a_vector_is_in_one_cell_however_many_it_reaches(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL", 16)
+    rng = np.random.default_rng(6)
+    made = embeddings.units(_column([(0, x.tolist()) for x in rng.standard_normal((400, 16))]), 16)[0]
+    nodes = spark.createDataFrame([(i, 1, 0.0, bytearray(x.astype("<f8").tobytes())) for i, x in enumerate(made)], embeddings._NODE)
+    cells = embeddings._cells(nodes, made.mean(axis=0), 16).collect()
+    held = np.concatenate([np.frombuffer(r["nodes"], "<i8") for r in cells])
+    assert sorted(held.tolist()) == list(range(400)) and len(cells) >= 13
+    assert all(len(r["units"]) == 16 * len(r["nodes"]) <= 32 * 8 * 16 for r in cells)
