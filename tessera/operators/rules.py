@@ -13,14 +13,19 @@ If no match of any rule can hold white space or depend on what is beyond it, as
 parts of words, the text between is cut at white space too: the rules then see one word at a time, and only
 words that hold a known text. A rewrite costs a word, not the whole text again. Rules go in blocks, and a word is
 looked at once a block for all known texts of it.
+
+If, besides, all patterns are plain letters and digits and no replacement takes groups, what the rules make of a word is kept
+by each task, WORDS words at most at a time: a text costs a look at each word, and rules only meet words that the task has not seen.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 import re._constants as sre
 import re._parser as sre_parser
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +36,11 @@ LEAST_LITERAL = 2
 BLOCKS = 6  # blocks of rules; each takes Spark's analyzer a few of its hundred rounds
 _RULE = "array<struct<seq:int,pattern:string,replacement:string,known:string,place:int>>"
 _HITS = "array<struct<place:int,n:bigint>>"
+WORDS = 1 << 18
+LONG_WORD = 100  # of longer words, patterns are searched one by one
+# What case-blind patterns take for ASCII letters.
+_ASCII_CASES = str.maketrans("\u017f\u212a\u0131\u0130", "skii")
+_DONE = f"struct<free:array<string>,hits:{_HITS}>"
 _GAP = r"[ \t\r\n]+"
 # A tag, or what stands before a stray `>`.
 _TAG = r"(?:^|<)[^<]*>"
@@ -167,6 +177,78 @@ def _summed(hits: Column) -> Column:
     return F.aggregate(F.sort_array(hits), empty, step, closed)
 
 
+def plain(rules: list[Rule]) -> bool:
+    """Whether all rules replace plain texts by plain texts. Python and Java find such texts alike, whatever the case."""
+    return bool(rules) and all(re.fullmatch("[A-Za-z0-9]+", pattern) and not set(new) & set("$\\") for _, pattern, new, _ in rules)
+
+
+class Words:
+    """What plain rules make of words, and how often each rule changes one."""
+
+    def __init__(self, rules: list[Rule]):
+        self.rules = [(re.compile(pattern, re.IGNORECASE), new) for _, pattern, new, _ in rules]
+        self.places: dict[str, list[int]] = {}
+        for place, (_, pattern, _, _) in enumerate(rules):
+            self.places.setdefault(pattern.lower(), []).append(place)
+        self.patterns, self.sizes = set(self.places), sorted({len(p) for p in self.places})
+        self.gap = re.compile(f"({_GAP})")
+        self.made: dict[str, str] = {}
+        self.hits: dict[str, list[tuple[int, int]]] = {}
+
+    def following(self, word: str, last: int) -> int:
+        """The first rule after `last` whose pattern a word holds; all that there are, if none does."""
+        seen = word.lower() if word.isascii() else word.translate(_ASCII_CASES).lower()
+        size, first = len(seen), len(self.rules)
+        if size > LONG_WORD:
+            held = [p for p in self.places if p in seen]
+        else:
+            held = self.patterns.intersection([seen[i : i + n] for n in self.sizes if n <= size for i in range(size - n + 1)])
+        for p in held:
+            for place in self.places[p]:
+                if last < place < first:
+                    first = place
+        return first
+
+    def learn(self, word: str) -> None:
+        new, hits = word, []
+        place = self.following(word, -1)
+        while place < len(self.rules):
+            pattern, by = self.rules[place]
+            new, n = pattern.subn(lambda _, by=by: by, new)
+            hits.append((place, n))
+            place = self.following(new, place)
+        self.made[word] = new
+        if hits:
+            self.hits[word] = hits
+
+    def rewrite(self, free: list[str | None]) -> tuple[list[str | None], list[tuple[int, int]]]:
+        """Pieces of a text, rewritten, and (place, n) of the rules that changed them, in order."""
+        if len(self.made) > WORDS:
+            self.made.clear()
+            self.hits.clear()
+        cut = [self.gap.split(piece) for piece in free]
+        words, sums = Counter(w for ws in cut for w in ws), Counter()
+        for w, often in words.items():
+            if w not in self.made:
+                self.learn(w)
+            for place, n in self.hits.get(w, ()):
+                sums[place] += n * often
+        return ["".join(map(self.made.__getitem__, ws)) for ws in cut], sorted(sums.items())
+
+
+def _by_words(free: Column, rules: list[Rule]) -> Column:
+    """Pieces of texts and the rules that changed them, (place, n), by plain rules."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = Words(rules)
+        for batch in batches:
+            made = (words.rewrite(x) if x is not None else None for x in (row.as_py() for row in batch))
+            rows = [x and {"free": x[0], "hits": [{"place": p, "n": n} for p, n in x[1]]} for x in made]
+            yield pa.array(rows, pa.struct([("free", pa.list_(pa.string())), ("hits", pa.list_(pa.struct([("place", pa.int32()), ("n", pa.int64())])))]))
+
+    return F.arrow_udf(run, _DONE)(free)
+
+
 def rewritten(text: Column, rules: list[Rule], terms: list[str] = ()) -> Column:
     """A struct of the rewritten `text` and `hits`, an array of (seq, n) of the rules that changed it, in order."""
     names = ("seq", "pattern", "replacement", "known", "place")
@@ -205,7 +287,9 @@ def rewritten(text: Column, rules: list[Rule], terms: list[str] = ()) -> Column:
         return F.transform(F.array(words), lambda ws: F.struct(whole(ws).alias("text"), F.flatten(ws["hits"]).alias("hits")))[0]
 
     free = F.split(text, fixed, -1)
-    if rules and all(in_words(pattern) for _, pattern, _, _ in rules):
+    if plain(rules):
+        done = _by_words(free, rules)
+    elif rules and all(in_words(pattern) for _, pattern, _, _ in rules):
         may, block = any_of(known for _, _, _, known in rules), -(-len(rules) // BLOCKS)
         pieces = F.transform(F.array(F.transform(free, by_word)), lambda ps: F.struct(ps["text"].alias("free"), _summed(F.flatten(ps["hits"])).alias("hits")))
         done = pieces[0]

@@ -109,3 +109,35 @@ def test_any_of_finds_each_of_many_texts():
     found = re.compile(U.any_of(["THAT", "THIS", "TH.", "WITH", "WITHOUT"])).search
     assert all(found(f"x{t}x") for t in ("THAT", "THIS", "TH.", "WITH")) and not any(map(found, ("THE", "WIT", "")))
     assert U.any_of(["AB", ""]) == ""
+
+
+def test_plain_rules_are_kept_by_word_and_equal_rules_on_whole_texts(spark, monkeypatch):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abki\u017f\u212a\u0131\u0130čDE+-.'") for _ in range(rng.randint(1, 6)))
+    rules = [(i, p, n) for i, (p, n) in enumerate([("ab", "BA"), ("ba", "x ab"), ("k", "AB+"), ("DE", "de de"), ("ki", ""), ("i", "č"), ("s", "k"), ("x", "ba")])]
+    more = [*rules, (len(rules), "never seen", "x")]  # all rules see whole texts, in the JVM
+    texts = ["".join(rng.choice([word() + " ", word(), "  ", "\n", "\t ", " ", "<b>", '<i c="ab">', ">", "<"]) for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None), (-2, ""), (-3, " ")], "i int, text string").repartition(2)
+    monkeypatch.setattr(U, "WORDS", 3)
+    for terms in ([], ["ab", "a b", "ki"]):
+        got, whole = ({r["i"]: (r["text"], r["hits"]) for r in U.apply_rules(docs, _rules(spark, x), terms=terms).collect()} for x in (rules, more))
+        assert got == whole and sum(map(bool, (h for _, h in got.values()))) > 100
+    plan = U.apply_rules(docs, _rules(spark, rules))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "ArrowEvalPython" in plan
+
+
+def test_python_and_java_find_plain_letters_alike(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz0"
+    every = spark.range(1, 0x110000).where("id < 55296 OR id > 57343").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "utf-32").alias("c"))
+    found = every.where(F.length(F.regexp_replace("c", f"(?iU)[{letters}]", "")) == 0).select(F.col("id"), *(F.col("c").rlike(U.FLAGS + x).alias(x) for x in letters)).collect()
+    java = {(x, chr(r["id"])) for r in found for x in letters if r[x]}
+    python = {(x, chr(i)) for x in letters for i in range(1, 0x110000) if not 55296 <= i <= 57343 and re.fullmatch(x, chr(i), re.IGNORECASE)}
+    assert java == python and ("k", "K") in java
+
+
+def test_which_rules_are_plain():
+    rule = lambda pattern, new: (1, pattern, new, "")
+    words = U.Words([(0, "ab", "", ""), (1, "cd", "x", ""), (2, "xb", "y", "")])
+    assert words.rewrite(["q" * 200 + "aCDb", "cdb CDB"]) == (["q" * 200 + "ay", "y y"], [(1, 3), (2, 3)])
+    assert U.plain([rule("abc1", "x +"), rule("D", "")])
+    assert not any(U.plain([rule("ab", "x"), r]) for r in (rule("a.", "x"), rule("ž", "x"), rule("a", "$0"), rule("a", r"\\"), rule("a b", "x"))) and not U.plain([])
